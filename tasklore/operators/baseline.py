@@ -94,8 +94,8 @@ def known_templates(baseline: DataFrame) -> DataFrame:
 
 
 def _age_days(as_of: datetime, updated: Column) -> Column:
-    seconds = F.timestamp_diff("SECOND", updated, F.lit(as_of).cast("timestamp_ntz"))
-    return F.floor(seconds / 86400).cast("int")
+    micros = F.timestamp_diff("MICROSECOND", updated, F.lit(as_of).cast("timestamp_ntz"))
+    return F.floor(micros / 86_400_000_000).cast("int")
 
 
 def baseline_state(tasks: DataFrame, baseline: DataFrame, as_of: datetime,

@@ -6,7 +6,7 @@ try with its lines in an array (bounded by the tail length), so per-try analysis
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tasklore.functions import fixed_values as fv
@@ -19,21 +19,32 @@ def log_entries(tries: DataFrame, max_lines: int = fv.MAX_LOG_LINES, iso: bool =
     lines = tries.select(
         *TRY_KEY, "start_date",
         parsing.dropped_lines(F.col("log_content"), max_lines).alias("dropped"),
-        F.posexplode(parsing.tail(F.col("log_content"), max_lines)).alias("position", "raw_content"),
-    )
-    messages = lines.withColumn("message", text.strip(F.col("raw_content"))).filter(F.col("message") != "")
-    return messages.select(
+        _stripped(parsing.tail(F.col("log_content"), max_lines)),
+    ).filter(F.col("item.message") != "")
+    raw = F.col("item.raw_content")
+    return lines.select(
         *TRY_KEY,
         (F.col("position") + 1).alias("line_number"),
         (F.col("position") + 1 + F.col("dropped")).alias("orig_line_number"),
-        parsing.event_time(F.col("raw_content"), F.col("start_date"), iso).alias("ts"),
-        parsing.level(F.col("raw_content")).alias("level"),
-        "message",
+        parsing.event_time(raw, F.col("start_date"), iso).alias("ts"),
+        parsing.level(raw).alias("level"),
+        F.col("item.message").alias("message"),
         F.lit(fv.LOG_SOURCE).alias("source"),
-        "raw_content",
+        raw.alias("raw_content"),
     )
 
 
+def _stripped(lines: Column) -> Column:
+    """Explode lines together with their stripped text.
+
+    The text is computed before the explode on purpose: a filter on a projected text would be pushed
+    down as its defining expression and strip the line again for every rule. The outer form keeps the
+    optimizer from evaluating the array twice to test its size; its null row falls to the blank filter.
+    """
+    both = F.transform(lines, lambda line: F.struct(line.alias("raw_content"), text.strip(line).alias("message")))
+    return F.posexplode_outer(both).alias("position", "item")
+
+
 def with_lines(tries: DataFrame, max_lines: int = fv.MAX_LOG_LINES, iso: bool = False,
                with_template: bool = False) -> DataFrame:
     """Add ``lines``, the structured lines of the try."""
@@ -47,9 +58,6 @@ def with_template(entries: DataFrame) -> DataFrame:
 
 def text_lines(documents: DataFrame, key: str, body: str) -> DataFrame:
     """Any text column as numbered, stripped, non-blank lines."""
-    lines = documents.select(key, F.posexplode(F.split(F.col(body), "\n")).alias("position", "raw_content"))
-    return (
-        lines.withColumn("message", text.strip(F.col("raw_content")))
-        .filter(F.col("message") != "")
-        .select(key, (F.col("position") + 1).alias("line_number"), "message")
-    )
+    lines = documents.select(key, _stripped(F.split(F.col(body), "\n")))
+    return lines.filter(F.col("item.message") != "").select(
+        key, (F.col("position") + 1).alias("line_number"), F.col("item.message").alias("message"))

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from tasklore.functions import fixed_values as fv
 
 # Whitespace as str.strip() sees it; Java's \s alone is narrower.
-WS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WS = r"[\p{IsWhite_Space}\x1c-\x1f]"
+WS_CHARS = "".join(ch for ch in map(chr, range(0x10000)) if ch.isspace())
 
 
 def strip(text: Column) -> Column:
-    """Remove whitespace of any kind at both ends (trim() removes blanks only)."""
-    return F.regexp_replace(text, f"^{WS}+|(?<!{WS}){WS}++$", "")
+    """Remove whitespace of any kind at both ends (plain trim() removes blanks only); looks at the ends, not the text."""
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def squeeze(text: Column) -> Column:

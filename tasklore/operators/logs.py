@@ -48,10 +48,21 @@ def _stripped(lines: Column) -> Column:
 def with_lines(tries: DataFrame, max_lines: int = fv.MAX_LOG_LINES, iso: bool = False,
                with_template: bool = False) -> DataFrame:
     """Add ``lines``, the structured lines of the try."""
-    return tries.withColumn("lines", parsing.structured_lines(
+    return pin(tries, lines=parsing.structured_lines(
         F.coalesce(F.col("log_content"), F.lit("")), F.col("start_date"), max_lines, iso, with_template))
 
 
+def pin(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    A projected column is only a name to the optimizer: a later filter on it is pushed down as its whole
+    defining expression, even into the lambda of another one. Values that come out of a generator are
+    not substituted, so costly arrays are passed through a one-element inline.
+    """
+    once = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return rows.select("*", F.inline(F.array(once)))
+
+
 def with_template(entries: DataFrame) -> DataFrame:
     return entries.withColumn("template", templates.shape_template(F.col("message")))
 

@@ -39,10 +39,10 @@ def shape_novelty(tries: DataFrame, baseline: DataFrame, max_lines: int = fv.MAX
     Anomalous is the first line of each template outside the baseline; without a baseline every line is.
     """
     attached = log_ops.with_lines(attach_known(tries, baseline), max_lines, with_template=True)
-    shaped = attached.withColumn("shapes", F.transform("lines", lambda item: item["template"]))
+    shaped = log_ops.pin(attached, shapes=F.transform("lines", lambda item: item["template"]))
     new = F.array_except("shapes", F.coalesce(F.col("known"), F.array().cast("array<string>")))
     first = F.transform(new, lambda shape: F.element_at(F.col("lines"), F.array_position(F.col("shapes"), shape).cast("int")))
-    return shaped.withColumn("anomalous", F.when(F.col("known").isNull(), F.col("lines")).otherwise(first)).drop("shapes")
+    return log_ops.pin(shaped, anomalous=F.when(F.col("known").isNull(), F.col("lines")).otherwise(first)).drop("shapes")
 
 
 def tree_novelty(tries: DataFrame, baseline: DataFrame, max_lines: int = fv.MAX_LOG_LINES,
@@ -59,9 +59,8 @@ def tree_novelty(tries: DataFrame, baseline: DataFrame, max_lines: int = fv.MAX_
     })
     created = fed.withColumn("created", _created_positions(settings)(F.col("seed_text"), F.col("line_text")))
     first = F.transform("created", lambda position: F.element_at(F.col("lines"), position))
-    return created.withColumn(
-        "anomalous", F.when(F.col("known").isNull(), F.col("lines")).otherwise(first)
-    ).drop("seed_text", "line_text", "created")
+    anomalous = F.when(F.col("known").isNull(), F.col("lines")).otherwise(first)
+    return log_ops.pin(created, anomalous=anomalous).drop("seed_text", "line_text", "created")
 
 
 def _created_positions(settings: TreeSettings):

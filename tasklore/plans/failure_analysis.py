@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tasklore.functions import answers, fixed_values as fv, rules, scoring, text
 from tasklore.operators import baseline as baselines
+from tasklore.operators import logs as log_ops
 from tasklore.operators import novelty as novelties
 from tasklore.operators import tasks as task_ops
 from tasklore.schemas import TASK_KEY, TRY_KEY
@@ -26,7 +27,7 @@ def candidates_per_try(tries: DataFrame, baseline: DataFrame, rule_set: rules.Ru
                        max_lines: int = fv.MAX_LOG_LINES, exact: bool = False) -> DataFrame:
     """Add ``lines``, ``anomalous`` and ``candidates``; ``exact`` uses the template tree instead of shapes."""
     find = novelties.tree_novelty if exact else novelties.shape_novelty
-    return find(tries, baseline, max_lines).withColumn("candidates", surviving(F.col("anomalous"), rule_set))
+    return log_ops.pin(find(tries, baseline, max_lines), candidates=surviving(F.col("anomalous"), rule_set))
 
 
 def compare(analysed: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def compare(analysed: DataFrame) -> DataFrame:
 def analyse(compared: DataFrame, answer: str | None = None) -> DataFrame:
     """Attach the analysis struct: the rules' answer, or a parsed model answer when a column is named."""
     error = scoring.error_line(F.col("candidates"))
-    located = compared.withColumn("error_line", error)
+    located = log_ops.pin(compared, error_line=error)
     by_rules = scoring.structured_output(F.col("error_line"))
     found = F.struct(
         by_rules["error_message"].alias("error_message"), by_rules["confidence"].alias("confidence"),

@@ -20,11 +20,11 @@ WHOLE_PERIOD = 60 * 24 * 60  # minutes; the look-back covers every run of the ta
 
 
 def learnt(v: Views) -> DataFrame:
-    return baseline.shape_baseline(baseline.baseline_lines(v.task_runs, v.task_runs), AS_OF)
+    return baseline.shape_baseline(baseline.baseline_lines(v.task_runs, v.heavy.task_runs), AS_OF)
 
 
 def learnt_tree(v: Views) -> DataFrame:
-    return baseline.tree_baseline(baseline.baseline_lines(v.task_runs, v.task_runs), AS_OF)
+    return baseline.tree_baseline(baseline.baseline_lines(v.task_runs, v.heavy.task_runs), AS_OF)
 
 
 def stored(v: Views) -> DataFrame:
@@ -36,7 +36,7 @@ def stored(v: Views) -> DataFrame:
 
 
 def failed_texts(v: Views) -> DataFrame:
-    return tasks.run_logs(v.task_fail, v.task_tries, v.task_tries)
+    return tasks.run_logs(v.task_fail, v.task_tries, v.heavy.task_tries)
 
 
 def compared(v: Views, exact: bool = False) -> DataFrame:
@@ -49,7 +49,7 @@ def analysed(v: Views) -> DataFrame:
 
 
 def entry_query(v: Views) -> DataFrame:
-    result = plan.analyze_tries(v.task_runs, v.task_tries, v.task_tries, AS_OF, minutes_back=WHOLE_PERIOD)
+    result = plan.analyze_tries(v.task_runs, v.task_tries, v.heavy.task_tries, AS_OF, minutes_back=WHOLE_PERIOD)
     return result.select(*TRY_KEY, "n_lines", "n_anomalous", "n_candidates", "novelty_score", "is_known_pattern",
                          "analysis.error_message", "analysis.confidence", "analysis.category", "analysis.severity",
                          "analysis.reasoning", F.array_join("analysis.suggested_actions", "|").alias("actions"))
@@ -152,7 +152,7 @@ FROM run_lines GROUP BY run_id)"""
 
 
 def with_error_line(v: Views) -> DataFrame:
-    return logs.with_lines(v.task_runs).withColumn("line", scoring.error_line(F.col("lines")))
+    return logs.with_lines(v.heavy.task_runs).withColumn("line", scoring.error_line(F.col("lines")))
 
 
 @check("a01_error_line", f"SELECT run_id, line FROM {_RUN_ERROR} e")
@@ -166,7 +166,7 @@ SELECT e.run_id, CASE WHEN a <> '' AND lower(a) NOT IN ('no error', 'none', 'unk
 FROM {_RUN_ERROR} e JOIN (SELECT 'run_' || id AS run_id, {sql.strip('line_answer')} AS a FROM model_answers) m ON m.run_id = e.run_id""")
 def a02(v: Views) -> DataFrame:
     given = v.model_answers.select(F.concat(F.lit("run_"), "id").alias("run_id"), "line_answer")
-    joined = logs.with_lines(v.task_runs).join(given, "run_id")
+    joined = logs.with_lines(v.heavy.task_runs).join(given, "run_id")
     return joined.select("run_id", scoring.answered_line(F.col("lines"), F.col("line_answer")).alias("line"))
 
 
@@ -175,7 +175,7 @@ _TEXTS = "(SELECT 'e' || id AS id, error_message AS t FROM error_logs UNION ALL
 
 
 def rated_texts(v: Views) -> DataFrame:
-    documents = logs.text_lines(v.table("documents"), "doc_id", "text")
+    documents = logs.text_lines(v.texts, "doc_id", "text")
     return v.error_logs.select(F.concat(F.lit("e"), "id").alias("id"), F.col("error_message").alias("t")).unionByName(
         documents.select(F.concat(F.lit("d"), "doc_id", F.lit("_"), "line_number").alias("id"), F.col("message").alias("t")))
 
@@ -327,7 +327,7 @@ def a15(v: Views) -> DataFrame:
 
 @check("a15_analyze_tries_tree")
 def a15_tree(v: Views) -> DataFrame:
-    result = plan.analyze_tries(v.task_runs, v.task_tries, v.task_tries, AS_OF, minutes_back=WHOLE_PERIOD, exact=True)
+    result = plan.analyze_tries(v.task_runs, v.task_tries, v.heavy.task_tries, AS_OF, minutes_back=WHOLE_PERIOD, exact=True)
     return result.select(*TRY_KEY, "n_lines", "n_anomalous", "n_candidates", "novelty_score", "analysis.error_message", "analysis.category")
 
 
@@ -361,7 +361,7 @@ def p13(v: Views) -> DataFrame:
 def u01(v: Views) -> DataFrame:
     even = extension.vectorised_predicate(lambda messages: messages.str.contains("rows") & (messages.str.len() % 2 == 0))
     chosen = rules.RuleSet().register("even_rows", even)
-    entries = logs.log_entries(v.task_runs)
+    entries = logs.log_entries(v.heavy.task_runs)
     return entries.filter(rules.any_rule(chosen, rules.line_view(F.col("message")))).select(*TRY_KEY, "line_number")
 
 

@@ -19,7 +19,7 @@ LINE_KEY = [*TRY_KEY, "line_number"]
 
 
 def run_entries(v: Views) -> DataFrame:
-    return logs.log_entries(v.task_runs)
+    return logs.log_entries(v.heavy.task_runs)
 
 
 # ---------------------------------------------------------------- scans
@@ -56,7 +56,7 @@ def s04(v: Views) -> DataFrame:
 
 @check("j06_run_logs", "SELECT dag_id, task_id, run_id, try_number, start_date, end_date, log_content FROM fail_tries")
 def j06(v: Views) -> DataFrame:
-    return tasks.run_logs(v.task_fail, v.task_tries, v.task_tries)
+    return tasks.run_logs(v.task_fail, v.task_tries, v.heavy.task_tries)
 
 
 # ---------------------------------------------------------------- parsing
@@ -67,7 +67,7 @@ SELECT {LINE}, orig_line_number, raw_content FROM run_lines
 UNION ALL SELECT 'documents', '-', CAST(doc_id AS VARCHAR), 0, line_number, line_number, message FROM doc_lines""")
 def p01(v: Views) -> DataFrame:
     key = [F.lit("documents").alias("dag_id"), F.lit("-").alias("task_id"), F.col("doc_id").cast("string").alias("run_id")]
-    documents = logs.text_lines(v.table("documents"), "doc_id", "text").select(
+    documents = logs.text_lines(v.texts, "doc_id", "text").select(
         *key, F.lit(0).alias("try_number"), "line_number", F.col("line_number").alias("orig_line_number"),
         F.col("message").alias("raw_content"))
     return run_entries(v).select(*LINE_KEY, "orig_line_number", "raw_content").unionByName(documents)
@@ -75,7 +75,7 @@ def p01(v: Views) -> DataFrame:
 
 @check("p01_log_tail", f"SELECT {LINE}, orig_line_number, message FROM ({sql.lines('task_runs', 5)}) cut")
 def p01_tail(v: Views) -> DataFrame:
-    return logs.log_entries(v.task_runs, max_lines=5).select(*LINE_KEY, "orig_line_number", "message")
+    return logs.log_entries(v.heavy.task_runs, max_lines=5).select(*LINE_KEY, "orig_line_number", "message")
 
 
 @check("p02_event_time", f"SELECT {LINE}, ts FROM run_lines")
@@ -106,7 +106,7 @@ def p05(v: Views) -> DataFrame:
 @check("p06_preview", """
 SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS preview FROM documents""")
 def p06(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
+    return v.texts.select("doc_id", text.preview(F.col("text")).alias("preview"))
 
 
 @check("p07_sms_truncate", """
@@ -123,7 +123,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY line_number DESC
 
 @check("p08_log_context", f"SELECT a.run_id, a.c AS last_ten, b.c AS last_three FROM {_context(10)} a JOIN {_context(3)} b ON a.run_id = b.run_id")
 def p08(v: Views) -> DataFrame:
-    lines = logs.with_lines(v.task_runs)
+    lines = logs.with_lines(v.heavy.task_runs)
     return lines.select("run_id", scoring.context(F.col("lines")).alias("last_ten"),
                         scoring.context(F.col("lines"), 3).alias("last_three"))
 
@@ -158,7 +158,7 @@ SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
   '(^|[^0-9.])[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}($|[^0-9.])', '\\1<ADDRESS>\\2', 'g'),
   '[0-9a-fA-F]{32,}', '<HEX>', 'g'), '[0-9]{9,}', '<DIGITS>', 'g') AS redacted FROM documents""")
 def p14(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", text.redact(F.col("text")).alias("redacted"))
+    return v.texts.select("doc_id", text.redact(F.col("text")).alias("redacted"))
 
 
 # ---------------------------------------------------------------- rules
@@ -240,7 +240,7 @@ _NOISY = f"(SELECT {LINE}, concat(message, ' ', {_PHRASE_SQL}) AS message FROM (
 
 
 def noisy(v: Views) -> DataFrame:
-    documents = logs.text_lines(v.table("documents"), "doc_id", "text").select(
+    documents = logs.text_lines(v.texts, "doc_id", "text").select(
         F.lit("documents").alias("dag_id"), F.lit("-").alias("task_id"), F.col("doc_id").cast("string").alias("run_id"),
         F.lit(0).alias("try_number"), "line_number", "message")
     both = run_entries(v).select(*LINE_KEY, "message").unionByName(documents)
@@ -290,7 +290,7 @@ def f14(v: Views) -> DataFrame:
 
 
 def all_messages(v: Views) -> DataFrame:
-    documents = logs.text_lines(v.table("documents"), "doc_id", "text")
+    documents = logs.text_lines(v.texts, "doc_id", "text")
     return run_entries(v).select("run_id", "line_number", "message").unionByName(
         documents.select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("run_id"), "line_number", "message"))
 

@@ -10,6 +10,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tasklore.sources.readers import spread
+
 AS_OF = datetime(2024, 1, 31)
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 
@@ -202,6 +204,15 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def heavy(self) -> Views:
+        """The same views with the events spread over all cores, for queries that parse logs."""
+        return Views(self.spark, self.folder, spread(self.table("events"), "event_id"))
+
+    @property
+    def texts(self) -> DataFrame:
+        return spread(self.table("documents"), "doc_id")
+
     def view(self, name: str) -> DataFrame:
         views = {k: v.replace("{", "{{").replace("}", "}}") for k, v in definitions(Spark).items()}
         clause = with_clause(f"SELECT * FROM {name}", views, "events AS (SELECT * FROM {events_in})")

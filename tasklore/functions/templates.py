@@ -36,4 +36,4 @@ def shape_template(message: Column) -> Column:
     Written as one linear regex over the normalised text instead of an array transform, so it stays
     inside generated code.
     """
-    return F.regexp_replace(normalise(message), r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", fv.WILDCARD)
+    return F.regexp_replace(normalise(message), r"(?<![^ ])[^ 0-9]*[0-9][^ ]*", fv.WILDCARD)

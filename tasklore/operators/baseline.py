@@ -14,6 +14,7 @@ from tasklore.functions import fixed_values as fv
 from tasklore.functions import templates
 from tasklore.operators import logs as log_ops
 from tasklore.operators import template_tree
+from tasklore.operators.sizing import join_measured
 from tasklore.operators.tasks import recent_successes
 from tasklore.schemas import TASK_KEY, TRY_KEY
 
@@ -38,10 +39,11 @@ def baseline_lines(tasks: DataFrame, logs: DataFrame, runs: int = fv.BASELINE_RU
                    max_lines: int = fv.MAX_LOG_LINES) -> DataFrame:
     """Structured lines of the runs that make up each baseline.
 
-    The run keys come first and are few; joining them to the log table reads only their texts.
+    The run keys come first and are few (a handful per task); they are measured and broadcast to the
+    scan of the log table, so texts of other runs are dropped where they are read.
     """
     keys = recent_successes(tasks, runs).select(*TRY_KEY, "start_date")
-    texts = keys.join(logs.select(*TRY_KEY, "log_content"), TRY_KEY)
+    texts = join_measured(logs.select(*TRY_KEY, "log_content"), keys, TRY_KEY, "baseline-runs")
     return log_ops.log_entries(texts, max_lines)
 
 

@@ -1,8 +1,9 @@
 """Lines of a failed try whose template the baseline does not know.
 
-Every try stays one row. The only data that meets is a try and the template array of its task, so the
-join carries one bounded array per task. A task with very many failed tries is split: tries are spread
-over salts and the (small) template side is repeated once per salt.
+Every try stays one row. The only data that meets is a try and the template array of its task, one
+bounded array per task. While all arrays together are small they are broadcast and no try moves. Beyond
+that the join is shuffled, and a task with very many failed tries is split: its tries are spread over
+salts and its template array is repeated once per salt.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from tasklore.functions import templates
 from tasklore.operators import logs as log_ops
 from tasklore.operators import template_tree
 from tasklore.operators.baseline import TreeSettings, known_templates
+from tasklore.operators.sizing import MAX_BROADCAST_BYTES, measured
 from tasklore.schemas import TASK_KEY
 
 cloudpickle.register_pickle_by_value(template_tree)
@@ -26,11 +28,15 @@ cloudpickle.register_pickle_by_value(template_tree)
 SALTS = 16
 
 
-def attach_known(tries: DataFrame, baseline: DataFrame, salts: int = SALTS) -> DataFrame:
+def attach_known(tries: DataFrame, baseline: DataFrame, salts: int = SALTS,
+                 max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Add ``known``, the templates of the task, or null when it has no baseline."""
+    known, small = measured(known_templates(baseline), "known-templates", max_bytes)
+    if small:
+        return tries.join(F.broadcast(known), TASK_KEY, "left")
     salt = F.pmod(F.xxhash64("run_id", "try_number"), F.lit(salts)).cast("int")
-    known = known_templates(baseline).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return tries.withColumn("salt", salt).join(known, [*TASK_KEY, "salt"], "left").drop("salt")
+    repeated = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return tries.withColumn("salt", salt).join(repeated, [*TASK_KEY, "salt"], "left").drop("salt")
 
 
 def shape_novelty(tries: DataFrame, baseline: DataFrame, max_lines: int = fv.MAX_LOG_LINES) -> DataFrame:

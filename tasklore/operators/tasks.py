@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tasklore.functions import fixed_values as fv
 from tasklore.functions import parsing, text
+from tasklore.operators.sizing import join_measured
 from tasklore.schemas import RUN_KEY, TASK_KEY, TRY_KEY
 
 
@@ -61,10 +62,11 @@ def failed_tries(tasks: DataFrame, tries: DataFrame) -> DataFrame:
 def run_logs(tasks: DataFrame, tries: DataFrame, logs: DataFrame) -> DataFrame:
     """Failed tasks to failed tries to their logs.
 
-    ``logs`` holds one text per try. Keys are joined before the texts, so texts of other tries never move.
+    ``logs`` holds one text per try. The keys are found and measured first; while they are small enough
+    to broadcast, no text is shuffled.
     """
     keys = failed_tries(tasks, tries).select(*TRY_KEY, "start_date", "end_date")
-    return logs.select(*TRY_KEY, "log_content").join(keys, TRY_KEY)
+    return join_measured(logs.select(*TRY_KEY, "log_content"), keys, TRY_KEY, "failed-tries")
 
 
 def shift_times(tasks: DataFrame, offset: str, columns: tuple[str, ...] = ("start_date", "end_date")) -> DataFrame:

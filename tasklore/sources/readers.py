@@ -17,6 +17,16 @@ def jdbc_tasks(spark: SparkSession, url: str, table: str, **options: str) -> Dat
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rebalance a source that comes in fewer partitions than there are cores, before costly per-row work.
+
+    Few large unsplittable files would leave most of the cluster idle; a source with enough partitions
+    is returned unchanged, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, *keys)
+
+
 def raw_logs(spark: SparkSession, path: str) -> DataFrame:
     """One row per log file: its path and whole text."""
     return spark.read.text(path, wholetext=True).select(

@@ -15,6 +15,7 @@ from tasklore.operators import candidates, datasets, evaluation, feedback, logs
 from tasklore.schemas import TASK_KEY, TRY_KEY
 from tasklore.session import scratch_path
 from tasklore.sources import readers, writers
+from tasklore.sources.readers import spread
 from tasklore.streaming import failures as stream
 
 # ---------------------------------------------------------------- training rows
@@ -244,6 +245,35 @@ def k08(v: Views) -> DataFrame:
     return readers.training_examples(v.spark, path).select("instruction", "input", "output", F.col("metadata")["id"].alias("source_id"))
 
 
+def log_folder(v: Views) -> str:
+    """Logs of the failed runs as text files, one folder per run, as a scheduler keeps them."""
+    path = scratch_path(v.spark, "logs")
+    texts = v.task_runs.filter("state = 'failed'").select("run_id", F.col("log_content").alias("value"))
+    spread(texts, "run_id").write.partitionBy("run_id").text(path)
+    return path
+
+
+def run_of(path: str):
+    return F.regexp_extract(path, "run_id=(run_[0-9]+)", 1)
+
+
+@check("s05_raw_logs", "SELECT run_id, log_content || chr(10) AS log_content FROM task_runs WHERE state = 'failed'")
+def s05(v: Views) -> DataFrame:
+    return readers.raw_logs(v.spark, log_folder(v)).select(run_of("filepath").alias("run_id"), "log_content")
+
+
+@check("s06_log_manifest", """
+SELECT run_id, dag_id, task_id, date_trunc('second', start_date) AS start_date, date_trunc('second', end_date) AS end_date, log_content || chr(10) AS log_content
+FROM task_runs WHERE state = 'failed'""")
+def s06(v: Views) -> DataFrame:
+    folder, manifest = log_folder(v), scratch_path(v.spark, "manifest")
+    files = readers.raw_logs(v.spark, folder).select("filepath", run_of("filepath").alias("run_id"))
+    times = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start_date", "end_date")]
+    listed = files.join(v.task_runs.select("run_id", "dag_id", "task_id", *times), "run_id")
+    listed.select("filepath", "start_date", "end_date", "dag_id", "task_id", "run_id").write.csv(manifest, header=True)
+    return readers.log_manifest(v.spark, manifest, folder).drop("filepath")
+
+
 @check("s07_jsonl_candidates", """
 SELECT sha256(c || '|' || e) AS id, coalesce(nullif(regexp_extract(c, 'DAG_ID[=:]\\s*[''"]?([^''",$\\s]+)', 1), ''), 'unknown') AS dag_id, 'unknown' AS task_id, e AS error_message, c AS raw_logs, 'pending' AS status
 FROM (SELECT CASE k % 3 WHEN 0 THEN 'DAG_ID="' || dag_id || '"' || chr(10) || log_content ELSE log_content END AS c, CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE err_text END AS e

@@ -85,6 +85,13 @@ def bare_search(pattern: str) -> str:
     return pattern
 
 
+def java_pattern(pattern: str) -> str:
+    """Spell the few constructs that only Python's syntax has in the way the JVM reads them."""
+    pattern = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
+    pattern = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{m[1].replace('_', '')}>", pattern)
+    return re.sub(r"(?<!\\)\\Z", r"\\z", pattern)
+
+
 def _test(rule: Rule, line: Mapping[str, Column], predicates: Mapping[str, Predicate]) -> Column | None:
     """The rule's own test, or None when the rule can never match."""
     message = line["message"]
@@ -95,7 +102,7 @@ def _test(rule: Rule, line: Mapping[str, Column], predicates: Mapping[str, Predi
         except re.error:
             return None
         # (?d): only a line feed ends a line, as for the dot of the rule syntax.
-        return message.rlike(("(?d)" if rule.case_sensitive else "(?id)") + bare_search(pattern))
+        return message.rlike(("(?d)" if rule.case_sensitive else "(?id)") + java_pattern(bare_search(pattern)))
     if rule.kind == "length_threshold":
         try:
             return F.length(text.strip(message)) < int(pattern)

@@ -126,6 +126,7 @@ def matches(spark, message, rule, predicates=None, level="INFO"):
     ("ab Xc", rules.Rule("regex", "x", case_sensitive=True), False),
     ("ab", rules.Rule("regex", ".*B.*"), True),
     ("ab", rules.Rule("regex", "(", negate=True), False),
+    ("aa bb", rules.Rule("regex", r"(?P<first_one>a)(?P=first_one).*b\Z"), True),
     ("ab", rules.Rule("substring", "AB", negate=True), False),
     ("ab", rules.Rule("starts_with", "B"), False),
     ("ab", rules.Rule("ends_with", "B"), True),

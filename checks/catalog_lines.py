@@ -171,7 +171,15 @@ def rule_query(name: str, rule: rules.Rule, oracle: str) -> None:
 
 
 rule_query("f01_regex", rules.Rule("regex", r"time(out|d out).*\d+ SECONDS"), "regexp_matches(message, 'time(out|d out).*[0-9]+ SECONDS', 'i')")
-rule_query("f01_regex_invalid", rules.Rule("regex", "([unclosed", negate=True), "false")
+
+
+@check("f01_regex_invalid", f"SELECT {LINE} FROM run_lines")
+def f01_invalid(v: Views) -> DataFrame:
+    """An unusable pattern matches nothing, even negated, so every line is kept."""
+    broken = rules.rule_test(rules.Rule("regex", "([unclosed", negate=True), rules.line_view(F.col("message")))
+    return run_entries(v).filter(~broken).select(*LINE_KEY)
+
+
 rule_query("f01_regex_negated", rules.Rule("regex", "ERROR|Traceback", case_sensitive=True, negate=True), "NOT regexp_matches(message, 'ERROR|Traceback')")
 rule_query("f02_substring", rules.Rule("substring", "MARKING task"), "contains(lower(message), 'marking task')")
 rule_query("f02_substring_case", rules.Rule("substring", "Host", case_sensitive=True, negate=True), "NOT contains(message, 'Host')")

@@ -304,6 +304,13 @@ def s08(v: Views) -> DataFrame:
                                                           "corrected_analysis.category", "corrected_analysis.error_message")
 
 
+@check("s09_reviewed_json", "SELECT id, raw_logs, human_feedback, status FROM error_candidates")
+def s09(v: Views) -> DataFrame:
+    path = scratch_path(v.spark, "reviewed")
+    writers.write_json_arrays(v.error_candidates.select("id", "raw_logs", "human_feedback", "status"), path, "id", rows_per_document=500)
+    return readers.reviewed_rows(v.spark, path)
+
+
 # ---------------------------------------------------------------- streams, each run to the end of the available data
 
 

@@ -61,8 +61,9 @@ def feedback_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reviewed_rows(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON array document of reviewed rows."""
-    return spark.read.schema(schemas.REVIEWED_ROW).option("multiLine", True).json(path)
+    """JSON array documents of reviewed rows: one file, or a folder of them."""
+    rows = spark.read.schema(schemas.REVIEWED_ROW).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    return rows.select(*schemas.REVIEWED_ROW.names)
 
 
 def training_examples(spark: SparkSession, path: str) -> DataFrame:

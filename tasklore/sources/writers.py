@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +39,18 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.json(path, ignoreNullFields=False)
 
 
+def write_json_arrays(rows: DataFrame, path: str, key: str, rows_per_document: int = 10_000) -> None:
+    """JSON array documents of bounded size, rows spread over them by a hash of the key.
+
+    An array has to be put together in one place, so the number of documents grows with the rows.
+    """
+    documents = max(1, math.ceil(rows.count() / rows_per_document))
+    text = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    numbered = rows.select(F.pmod(F.xxhash64(key), F.lit(documents)).alias("document"), text.alias("row"))
+    arrays = numbered.groupBy("document").agg(F.array_join(F.collect_list("row"), ",\n").alias("body"))
+    arrays.select("document", F.concat(F.lit("[\n"), "body", F.lit("\n]")).alias("value")).write.partitionBy("document").text(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.csv(path, header=True, nullValue="", emptyValue="", escape='"', quoteAll=False)
 
@@ -44,3 +58,16 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def save_examples(examples: DataFrame, path: str) -> None:
     """Training examples as JSON lines."""
     examples.write.json(path, ignoreNullFields=False)
+
+
+def store_baseline(baseline: DataFrame, path: str, version: int) -> None:
+    """Write a whole baseline table as one version. Refreshing, retiring and clearing all produce the next
+    version from the last one; a repeated write replaces only itself, and readers keep what they opened."""
+    baseline.write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def latest_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """The newest stored version; the version filter prunes the other folders."""
+    stored = spark.read.parquet(path)
+    newest = stored.agg(F.max("version")).first()[0]
+    return stored.filter(F.col("version") == newest).drop("version")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tasklore import session
+from tasklore.operators import baseline
 from tasklore.sources import readers, writers
 from tasklore.streaming import failures as stream
 
@@ -59,6 +60,13 @@ def test_error_logs_are_partitioned_and_appended(spark, tmp_path):
     assert stored.count() == 4 and {str(r["date"]) for r in stored.select("date").distinct().collect()} == {"2024-01-01", "2024-01-02"}
 
 
+def test_baseline_versions(spark, tmp_path):
+    one = spark.createDataFrame([("d", "t", "a"), ("e", "t", "b")], "dag_id string, task_id string, template string")
+    writers.store_baseline(one, str(tmp_path / "b"), 1)
+    writers.store_baseline(baseline.clear(writers.latest_baseline(spark, str(tmp_path / "b")), "d", "t"), str(tmp_path / "b"), 2)
+    assert [tuple(r) for r in writers.latest_baseline(spark, str(tmp_path / "b")).collect()] == [("e", "t", "b")]
+
+
 def test_scratch_paths_are_new_and_shared(spark):
     one, two = session.scratch_path(spark, "x"), session.scratch_path(spark, "x")
     assert one != two and one.startswith(spark.conf.get(session.CHECKPOINT_KEY).rstrip("/"))

@@ -13,6 +13,7 @@ from tasklore.functions import fixed_values as fv
 from tasklore.operators import baseline, logs, novelty, tasks
 from tasklore.operators import extension
 from tasklore.plans import failure_analysis as plan
+from tasklore.plans import monitoring
 from tasklore.schemas import TASK_KEY, TRY_KEY
 
 TRY = "dag_id, task_id, run_id, try_number"
@@ -50,9 +51,7 @@ def analysed(v: Views) -> DataFrame:
 
 def entry_query(v: Views) -> DataFrame:
     result = plan.analyze_tries(v.task_runs, v.task_tries, v.heavy.task_tries, AS_OF, minutes_back=WHOLE_PERIOD)
-    return result.select(*TRY_KEY, "n_lines", "n_anomalous", "n_candidates", "novelty_score", "is_known_pattern",
-                         "analysis.error_message", "analysis.confidence", "analysis.category", "analysis.severity",
-                         "analysis.reasoning", F.array_join("analysis.suggested_actions", "|").alias("actions"))
+    return monitoring.flat_results(result)
 
 
 # ---------------------------------------------------------------- baselines
@@ -339,11 +338,14 @@ def a16(v: Views) -> DataFrame:
     return plan.candidate_lines(analysed(v))
 
 
-@check("p11_run_summary", f"""
+SUMMARY_SQL = f"""
 SELECT s.dag_id, s.task_id, s.run_id, s.try_number, CASE WHEN error_line IS NULL THEN s.dag_id || '.' || s.task_id || ': No error patterns identified'
   ELSE 'DAG: ' || s.dag_id || ' Task: ' || s.task_id || ': ' || CASE WHEN length(error_line) > 160 THEN substr(error_line, 1, 157) || '...' ELSE error_line END END
   || ' Attempt: ' || s.try_number AS summary
-FROM fail_stats s LEFT JOIN fail_errors e ON e.dag_id = s.dag_id AND e.task_id = s.task_id AND e.run_id = s.run_id AND e.try_number = s.try_number""")
+FROM fail_stats s LEFT JOIN fail_errors e ON e.dag_id = s.dag_id AND e.task_id = s.task_id AND e.run_id = s.run_id AND e.try_number = s.try_number"""
+
+
+@check("p11_run_summary", SUMMARY_SQL)
 def p11(v: Views) -> DataFrame:
     return plan.summaries(analysed(v))
 

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import sql
+from checks.catalog_analysis import SUMMARY_SQL, analysed
 from checks.registry import check
 from checks.views import AS_OF, AS_OF_SQL, Views
 from tasklore.operators import alerts, candidates, feedback, reports
+from tasklore.plans import monitoring
 
 DAY = date(2024, 1, 25)
 DAY_SQL = "DATE '2024-01-25'"
@@ -377,6 +379,12 @@ def n02(v: Views) -> DataFrame:
     return alerts.with_recipients(v.analysis_records, _PATTERNS, _DEFAULT).select("id", "severity", "recipient")
 
 
+@check("n02_notify_failures", f"""
+SELECT dag_id, task_id, run_id, try_number, summary, unnest({_RECIPIENTS}) AS recipient FROM (SELECT *, dag_id || '.' || task_id AS key FROM ({SUMMARY_SQL}) s1) s2""")
+def n02_notify(v: Views) -> DataFrame:
+    return monitoring.notifications(analysed(v), _PATTERNS, _DEFAULT)
+
+
 @check("n03_sms_text", """
 SELECT id, substr('Pipeline Alert: ' || dag_id || '.' || task_id || ' failed. Error: ' || substr(error_message, 1, 100) || '... Severity: ' || severity, 1, 160) AS sms
 FROM analysis_records""")

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import sql
-from checks.catalog_analysis import TRY, analysed, learnt
+from checks.catalog_analysis import ANALYZE_SQL, TRY, analysed, learnt
 from checks.registry import check
 from checks.views import AS_OF, Views
 from tasklore.functions import fixed_values as fv
 from tasklore.functions import similarity, templates
 from tasklore.operators import candidates, datasets, evaluation, feedback, logs
+from tasklore.plans import monitoring
 from tasklore.schemas import TASK_KEY, TRY_KEY
 from tasklore.session import scratch_path
 from tasklore.sources import readers, writers
@@ -398,6 +399,13 @@ def t05(v: Views) -> DataFrame:
         .unionByName(read["events"].select(F.lit("events").alias("part"), "run_id", F.get_json_object("data", "$.severity").alias("severity"), nobody)))
 
 
+@check("t05_stream_analysis", ANALYZE_SQL)
+def t05_analysis(v: Views) -> DataFrame:
+    tries = streamed(v).task_tries.join(v.task_fail.select("run_id"), "run_id", "left_semi")
+    path = drain(v, monitoring.flat_results(monitoring.analyse_stream(tries, learnt(v))), "stream-analysis")
+    return v.spark.read.parquet(path).drop("batch_id")
+
+
 @check("t06_baseline_static_join", """
 SELECT l.dag_id, l.task_id, l.run_id, l.try_number, l.line_number, l.template FROM (SELECT * FROM shaped_lines) l JOIN task_fail f ON f.run_id = l.run_id
 WHERE NOT EXISTS (SELECT 1 FROM base_templates b WHERE b.dag_id = l.dag_id AND b.task_id = l.task_id AND b.template = l.template)""")

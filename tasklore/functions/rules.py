@@ -145,9 +145,11 @@ def any_rule(rules: RuleSet, line: Mapping[str, Column]) -> Column:
 
 def first_rule(rules: RuleSet, line: Mapping[str, Column]) -> Column:
     """Label of the first matching rule, null when none matches."""
-    found: Column = F.lit(None).cast("string")
-    for rule in reversed(rules.rules):
-        found = F.when(rule_test(rule, line, rules.predicates), F.lit(rule.label)).otherwise(found)
+    if not rules.rules:
+        return F.lit(None).cast("string")
+    found = F  # one flat CASE: when(...).when(...) instead of nested ones
+    for rule in rules.rules:
+        found = found.when(rule_test(rule, line, rules.predicates), F.lit(rule.label))
     return found
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tasklore.functions import fixed_values as fv
+from tasklore.functions.rules import java_pattern
 
 # The recipient table is configuration; above this size the expression would no longer be small.
 MAX_PATTERNS = 2000
@@ -30,11 +31,13 @@ def recipients(key: Column, patterns: Mapping[str, Sequence[str]], default: Sequ
     def names(values: Sequence[str]) -> Column:
         return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
-    chosen = names(default)
-    for pattern, values in reversed(list(patterns.items())):
+    if not patterns:
+        return names(default)
+    chosen = F  # one flat CASE in pattern order
+    for pattern, values in patterns.items():
         re.compile(pattern)
-        chosen = F.when(key.rlike(f"^(?:{pattern})"), names(values)).otherwise(chosen)
-    return chosen
+        chosen = chosen.when(key.rlike(f"^(?:{java_pattern(pattern)})"), names(values))
+    return chosen.otherwise(names(default))
 
 
 def task_key() -> Column:

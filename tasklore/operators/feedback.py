@@ -34,7 +34,8 @@ def feedback_todo(errors: DataFrame, analyses: DataFrame, feedback: DataFrame, a
     """Recent errors nobody has reviewed, newest first; ``limit`` None lists them all."""
     since = (as_of - timedelta(days=days)).date()
     a = analyses.select(F.col("error_log_id").alias("id"), F.col("id").alias("analysis_id"), *ANALYSIS_COLUMNS)
-    reviewed = feedback.select(F.col("error_log_id").alias("id"))
+    # distinct first: an error with very many feedback rows shrinks to one before the shuffle
+    reviewed = feedback.select(F.col("error_log_id").alias("id")).distinct()
     open_errors = errors.filter(F.col("dt") >= F.lit(since)).join(reviewed, "id", "left_anti")
     listed = open_errors.join(a, "id", "inner" if require_analysis else "left").orderBy(
         F.col("ts").desc(), "id", "analysis_id")
@@ -56,7 +57,7 @@ def training_rows(errors: DataFrame, analyses: DataFrame, feedback: DataFrame, m
 
 def unanalysed(errors: DataFrame, analyses: DataFrame) -> DataFrame:
     """Errors without any analysis, counted per task."""
-    missing = errors.join(analyses.select(F.col("error_log_id").alias("id")), "id", "left_anti")
+    missing = errors.join(analyses.select(F.col("error_log_id").alias("id")).distinct(), "id", "left_anti")
     return missing.groupBy("dag_id", "task_id").agg(F.count("*").alias("error_count")).orderBy(
         F.col("error_count").desc(), "dag_id", "task_id")
 

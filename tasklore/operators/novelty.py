@@ -26,6 +26,7 @@ from tasklore.schemas import TASK_KEY
 cloudpickle.register_pickle_by_value(template_tree)
 
 SALTS = 16
+SEEDED_TREES = 64  # trees kept per Python task; tries of one task copy the seeded tree instead of feeding it again
 
 
 def attach_known(tries: DataFrame, baseline: DataFrame, salts: int = SALTS,
@@ -77,14 +78,26 @@ def _created_positions(settings: TreeSettings):
         def split(text: str) -> list[str]:
             return text.split(" ") if text else []
 
+        def seeded(seed: tuple[str, ...]) -> template_tree.TemplateTree:
+            tree = template_tree.TemplateTree(*args)
+            for text in seed:
+                tree.add(split(text))
+            return tree
+
+        kept: dict[tuple[str, ...], template_tree.TemplateTree] = {}
         for seeds, lines in batches:
-            out = []
+            out: list[list[int]] = []
             for seed, line in zip(seeds, lines):
-                tree = template_tree.TemplateTree(*args)
-                for text in seed if seed is not None else ():
-                    tree.add(split(text))
-                fed = [] if seed is None else line
-                out.append([n for n, text in enumerate(fed, start=1)
+                if seed is None:
+                    out.append([])
+                    continue
+                key = tuple(seed)
+                if key not in kept:
+                    if len(kept) >= SEEDED_TREES:
+                        kept.pop(next(iter(kept)))
+                    kept[key] = seeded(key)
+                tree = kept[key].copy()
+                out.append([n for n, text in enumerate(line, start=1)
                             if tree.add(split(text))[0] == template_tree.CREATED])
             yield pd.Series(out)
 

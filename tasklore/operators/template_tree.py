@@ -18,6 +18,12 @@ class _Node:
         self.children: dict = {}
         self.members: list[int] = []
 
+    def copy(self) -> _Node:
+        twin = _Node()
+        twin.children = {key: child.copy() for key, child in self.children.items()}
+        twin.members = list(self.members)
+        return twin
+
 
 class TemplateTree:
     """Feed token lists in order; each line lands in exactly one template."""
@@ -31,6 +37,14 @@ class TemplateTree:
         self._next_id = 0
         self.clusters: OrderedDict[int, list] = OrderedDict()  # id -> [tokens, size], least recently used first
 
+    def copy(self) -> TemplateTree:
+        """An independent tree in the same state; token lists are replaced, never changed, so they are shared."""
+        twin = TemplateTree.__new__(TemplateTree)
+        twin.__dict__.update(self.__dict__)
+        twin._root = self._root.copy()
+        twin.clusters = OrderedDict((key, list(entry)) for key, entry in self.clusters.items())
+        return twin
+
     def add(self, tokens: list[str]) -> tuple[str, int]:
         """Outcome of the line and the id of its template."""
         match = self._best(self._leaf(tokens), tokens)

@@ -18,6 +18,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Sessions of a hot dag are merged inside each input partition before the shuffle.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Key tables too big to broadcast may still cut the big side by a runtime Bloom filter.
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
 }

@@ -67,6 +67,17 @@ def test_tree_limits():
     assert deep.add(["a", "z", "c", "d", "e"])[0] == CREATED  # second level keys differ
 
 
+def test_tree_copy_is_independent():
+    tree = TemplateTree()
+    for line in random_lines(8):
+        tree.add(line)
+    before = tree.templates()
+    twin = tree.copy()
+    outcomes = [twin.add(line)[0] for line in random_lines(9)]
+    assert tree.templates() == before and twin.templates() != before
+    assert outcomes == [tree.add(line)[0] for line in random_lines(9)]
+
+
 def test_tree_merges_above_the_threshold():
     tree = TemplateTree()
     assert tree.add("[t] INFO - x y".split())[0] == CREATED

@@ -117,7 +117,7 @@ def p07(v: Views) -> DataFrame:
 
 
 def _context(n: int) -> str:
-    return f"""(SELECT run_id, string_agg('[' || {Duck.fmt('ts')} || '] ' || level || ': ' || message, chr(10) ORDER BY line_number) AS c
+    return f"""(SELECT run_id, string_agg('[' || {Duck.fmt('ts')} || CASE WHEN strftime(ts, '%f') = '000000' THEN '' ELSE '.' || strftime(ts, '%f') END || '] ' || level || ': ' || message, chr(10) ORDER BY line_number) AS c
 FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY line_number DESC) AS back FROM run_lines) t WHERE back <= {n} GROUP BY run_id)"""
 
 

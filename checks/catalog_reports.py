@@ -409,9 +409,9 @@ def n04(v: Views) -> DataFrame:
 
 
 @check("n07_update_events", f"""
-SELECT 'new_failure' AS event_type, dag_id, task_id, run_id, ts AS timestamp, error_message, NULL AS analysis_id, NULL AS processed FROM error_logs
-UNION ALL SELECT 'analysis_complete', dag_id, task_id, run_id, ts, error_message, id, NULL FROM analysis_records
-UNION ALL SELECT 'status_change', NULL, NULL, NULL, {AS_OF_SQL}, NULL, NULL, CAST(count(*) AS VARCHAR) FROM analysis_records""")
+SELECT 'new_failure' AS event_type, dag_id, task_id, run_id, ts AS timestamp, error_message, NULL AS analysis_id, NULL AS processed, {_ISO.replace('created_at', 'ts')} AS payload_time FROM error_logs
+UNION ALL SELECT 'analysis_complete', dag_id, task_id, run_id, ts, error_message, id, NULL, NULL FROM analysis_records
+UNION ALL SELECT 'status_change', NULL, NULL, NULL, {AS_OF_SQL}, NULL, NULL, CAST(count(*) AS VARCHAR), '2024-01-31T00:00:00' FROM analysis_records""")
 def n07(v: Views) -> DataFrame:
     failures = alerts.new_failures(v.error_logs.withColumn("severity", F.lit(None).cast("string")))
     changes = alerts.status_changes(reports.monitor_stats(v.analysis_records), F.lit(AS_OF).cast("timestamp_ntz"))
@@ -419,6 +419,7 @@ def n07(v: Views) -> DataFrame:
     return events.select("event_type", "dag_id", "task_id", "run_id", "timestamp",
                          F.get_json_object("data", "$.error_message").alias("error_message"),
                          F.get_json_object("data", "$.analysis_id").alias("analysis_id"),
-                         F.get_json_object("data", "$.monitor_status.processed").alias("processed"))
+                         F.get_json_object("data", "$.monitor_status.processed").alias("processed"),
+                         F.get_json_object("data", "$.timestamp").alias("payload_time"))
 
 

@@ -92,7 +92,7 @@ def context(lines: Column, last: int = fv.CONTEXT_LINES) -> Column:
     start = F.greatest(F.size(lines) - F.lit(last) + 1, F.lit(1))
     recent = F.slice(lines, start, F.lit(last))
     return F.array_join(F.transform(recent, lambda item: F.concat(
-        F.lit("["), F.date_format(item["ts"], "yyyy-MM-dd HH:mm:ss"), F.lit("] "),
+        F.lit("["), text.time_text(item["ts"]), F.lit("] "),
         item["level"], F.lit(": "), item["message"])), "\n")
 
 

@@ -66,6 +66,13 @@ def round_half_up(value: Column, digits: int) -> Column:
     return F.floor(value * scale + 0.5) / scale
 
 
+def time_text(ts: Column, separator: str = " ") -> Column:
+    """Date and time with six fraction digits, or none when the fraction is zero."""
+    whole = F.concat(F.date_format(ts, "yyyy-MM-dd"), F.lit(separator), F.date_format(ts, "HH:mm:ss"))
+    micros = F.date_format(ts, "SSSSSS")
+    return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
+
+
 def glob_to_regex(pattern: str) -> str:
     """Shell glob to an anchored, case-insensitive regex (built once on the driver)."""
     out, i = [], 0

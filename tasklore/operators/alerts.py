@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tasklore.functions import fixed_values as fv
+from tasklore.functions import text
 from tasklore.functions.rules import java_pattern
 
 # The recipient table is configuration; above this size the expression would no longer be small.
@@ -58,7 +59,10 @@ def sms_text(error: Column, severity: Column, title: str = "Alert", key: Column
 
 def email_text(error: Column, category: Column, severity: Column, confidence: Column, actions: Column,
                at: Column, title: str = "Alert") -> Column:
-    """HTML body of an alert with the confidence in percent and the suggested actions as a list."""
+    """HTML body of an alert with the confidence in percent and the suggested actions as a list.
+
+    ``at`` is the time as text (see ``functions.text.time_text``).
+    """
     def row(name: str, value: Column) -> list[Column]:
         return [F.lit(f"<p><strong>{name}:</strong> "), value, F.lit("</p>\n")]
 
@@ -68,7 +72,7 @@ def email_text(error: Column, category: Column, severity: Column, confidence: Co
         *row("Error", error), *row("Category", category), *row("Severity", severity),
         *row("Confidence", F.format_string("%.1f%%", confidence * 100)),
         F.lit("<h3>Suggested Actions:</h3>\n<ul>"), items, F.lit("</ul>\n<p><em>Generated at "),
-        at.cast("string"), F.lit("</em></p>\n</body>\n</html>"))
+        at, F.lit("</em></p>\n</body>\n</html>"))
 
 
 def _event(kind: str, at: Column, payload: Column, keyed: bool = True) -> list[Column]:
@@ -78,7 +82,7 @@ def _event(kind: str, at: Column, payload: Column, keyed: bool = True) -> list[C
 
 
 def new_failures(failures: DataFrame) -> DataFrame:
-    payload = F.struct("error_message", F.col("ts").cast("string").alias("timestamp"),
+    payload = F.struct("error_message", text.time_text(F.col("ts"), "T").alias("timestamp"),
                        F.coalesce("severity", F.lit("unknown")).alias("severity"))
     return failures.select(*_event("new_failure", F.col("ts"), payload))
 
@@ -89,5 +93,5 @@ def completed_analyses(results: DataFrame) -> DataFrame:
 
 
 def status_changes(statistics: DataFrame, at: Column) -> DataFrame:
-    payload = F.struct(F.struct(*statistics.columns).alias("monitor_status"), at.cast("string").alias("timestamp"))
+    payload = F.struct(F.struct(*statistics.columns).alias("monitor_status"), text.time_text(at, "T").alias("timestamp"))
     return statistics.select(*_event("status_change", at, payload, keyed=False))

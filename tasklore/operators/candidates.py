@@ -141,15 +141,8 @@ def _final(kind: str) -> Column:
     return text.first_present(F.col(f"human_{kind}"), F.col(f"llm_{kind}"))
 
 
-def _iso(name: str) -> Column:
-    """Time as isoformat() writes it: the fraction is left out when it is zero."""
-    whole = F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(name, "SSSSSS")
-    return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
-
-
 def _time_or_null(candidates: DataFrame, name: str) -> Column:
-    return _iso(name) if name in candidates.columns else F.lit(None).cast("string")
+    return text.time_text(F.col(name), "T") if name in candidates.columns else F.lit(None).cast("string")
 
 
 def export_json(candidates: DataFrame) -> DataFrame:

@@ -62,6 +62,13 @@ def test_offset(offset, shift):
     assert parsing.parse_offset(offset) == shift
 
 
+def test_time_text(spark):
+    rows = [(datetime(2024, 1, 2, 3, 4, 5),), (datetime(2024, 1, 2, 3, 4, 5, 120),)]
+    frame = spark.createDataFrame(rows, "t timestamp_ntz")
+    assert [r[0] for r in frame.select(text.time_text(F.col("t"))).collect()] == [str(r[0]) for r in rows]
+    assert [r[0] for r in frame.select(text.time_text(F.col("t"), "T")).collect()] == [r[0].isoformat() for r in rows]
+
+
 def test_text_cuts(spark):
     assert one(spark, "x" * 161, text.short_text) == "x" * 157 + "..."
     assert one(spark, "x" * 160, text.short_text) == "x" * 160

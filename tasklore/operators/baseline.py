@@ -89,13 +89,15 @@ def _identify(numbered: DataFrame, as_of: datetime | Column) -> DataFrame:
 
 
 def known_templates(baseline: DataFrame) -> DataFrame:
-    """One row per (dag, task): its templates in cluster order. Bounded by the cluster limit."""
+    """One row per (dag, task): its templates in cluster order and its age mark. Bounded by the lines of its runs."""
     packed = baseline.groupBy(*TASK_KEY).agg(
-        F.sort_array(F.collect_list(F.struct("cluster_no", "template"))).alias("packed"))
-    return packed.select(*TASK_KEY, F.transform("packed", lambda item: item["template"]).alias("known"))
+        F.sort_array(F.collect_list(F.struct("cluster_no", "template"))).alias("packed"),
+        F.max("last_updated").alias("baseline_updated"))
+    return packed.select(*TASK_KEY, F.transform("packed", lambda item: item["template"]).alias("known"), "baseline_updated")
 
 
-def _age_days(as_of: datetime, updated: Column) -> Column:
+def age_days(as_of: datetime, updated: Column) -> Column:
+    """Whole days between the last update and the given moment."""
     micros = F.timestamp_diff("MICROSECOND", updated, F.lit(as_of).cast("timestamp_ntz"))
     return F.floor(micros / 86_400_000_000).cast("int")
 
@@ -106,7 +108,7 @@ def baseline_state(tasks: DataFrame, baseline: DataFrame, as_of: datetime,
     built = baseline.groupBy(*TASK_KEY).agg(
         F.count("*").alias("cluster_count"), F.min("created_at").alias("created_at"),
         F.max("last_updated").alias("last_updated"))
-    age = F.coalesce(_age_days(as_of, F.col("last_updated")), F.lit(0))
+    age = F.coalesce(age_days(as_of, F.col("last_updated")), F.lit(0))
     stale = F.col("last_updated").isNull() | (F.col("age_days") >= refresh_days) | (F.col("cluster_count") < 1)
     return (
         tasks.select(*TASK_KEY).distinct().join(built, TASK_KEY, "left")
@@ -151,7 +153,7 @@ def statistics(baseline: DataFrame, as_of: datetime, refresh_days: int = fv.BASE
 
 def retain(baseline: DataFrame, as_of: datetime, retention_days: int = fv.BASELINE_RETENTION_DAYS) -> DataFrame:
     """Baselines not older than the retention time."""
-    return baseline.filter(_age_days(as_of, F.col("last_updated")) <= retention_days)
+    return baseline.filter(age_days(as_of, F.col("last_updated")) <= retention_days)
 
 
 def clear(baseline: DataFrame, dag_id: str, task_id: str) -> DataFrame:

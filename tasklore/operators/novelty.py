@@ -31,7 +31,7 @@ SEEDED_TREES = 64  # trees kept per Python task; tries of one task copy the seed
 
 def attach_known(tries: DataFrame, baseline: DataFrame, salts: int = SALTS,
                  max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Add ``known``, the templates of the task, or null when it has no baseline."""
+    """Add ``known``, the templates of the task, and ``baseline_updated``; both null when it has no baseline."""
     known, small = measured(known_templates(baseline), "known-templates", max_bytes)
     if small:
         return tries.join(F.broadcast(known), TASK_KEY, "left")

@@ -12,7 +12,7 @@ from tasklore.operators import baseline as baselines
 from tasklore.operators import logs as log_ops
 from tasklore.operators import novelty as novelties
 from tasklore.operators import tasks as task_ops
-from tasklore.schemas import TASK_KEY, TRY_KEY
+from tasklore.schemas import TRY_KEY
 
 
 def surviving(lines: Column, rule_set: rules.RuleSet) -> Column:
@@ -38,7 +38,7 @@ def compare(analysed: DataFrame) -> DataFrame:
         F.size("candidates").alias("n_candidates"),
         novelties.novelty_score(F.col("lines"), F.col("anomalous")).alias("novelty_score"),
         ((F.size("lines") > 0) & (F.size("candidates") == 0)).alias("is_known_pattern"),
-        F.size(F.coalesce("known", F.array().cast("array<string>"))).alias("baseline_size"),
+        F.size(F.coalesce("known", F.array().cast("array<string>"))).alias("baseline_size"), "baseline_updated",
     )
 
 
@@ -83,7 +83,8 @@ def result_rows(analysed: DataFrame, as_of: datetime) -> DataFrame:
     return analysed.select(
         F.sha2(F.concat_ws("\x1f", *TRY_KEY), 256).alias("id"), *TRY_KEY, "analysis",
         F.struct("is_known_pattern", F.array().cast("array<string>").alias("similar_clusters"), "novelty_score",
-                 "baseline_size").alias("baseline_comparison"),
+                 F.coalesce(baselines.age_days(as_of, F.col("baseline_updated")), F.lit(0)).alias("baseline_age_days"),
+                 ).alias("baseline_comparison"),
         F.lit(as_of).cast("timestamp_ntz").alias("timestamp"), F.lit(True).alias("success"),
     )
 
@@ -108,10 +109,3 @@ def run_summary(dag_id: Column, task_id: Column, line: Column | None, try_number
 def summaries(analysed: DataFrame) -> DataFrame:
     line = F.when(F.col("n_candidates") > 0, text.short_text(F.col("error_line")))
     return analysed.select(*TRY_KEY, run_summary(F.col("dag_id"), F.col("task_id"), line, F.col("try_number")).alias("summary"))
-
-
-def per_task_novelty(compared: DataFrame) -> DataFrame:
-    """Average novelty and known share per task, pre-aggregated before the shuffle."""
-    return compared.groupBy(*TASK_KEY).agg(
-        F.count("*").alias("tries"), F.avg("novelty_score").alias("avg_novelty"),
-        F.count_if("is_known_pattern").alias("known"))

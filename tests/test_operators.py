@@ -129,6 +129,15 @@ def test_analysis_of_each_try(runs, exact):
     assert (empty["n_lines"], empty["novelty_score"], empty["is_known_pattern"]) == (0, 0.0, False)
 
 
+def test_result_rows_keep_both_parts(runs):
+    learnt = baseline.shape_baseline(baseline.baseline_lines(runs, runs), datetime(2024, 1, 27, 18))
+    analysed = plan.analyze_tries(runs, runs, runs, AS_OF, 60 * 24 * 60, rules.RuleSet(), baseline=learnt)
+    rows = {r["run_id"]: r for r in plan.result_rows(analysed, AS_OF).collect()}
+    assert rows["r006"]["baseline_comparison"]["baseline_age_days"] == 3
+    assert rows["r008"]["baseline_comparison"]["baseline_age_days"] == 0
+    assert rows["r006"]["analysis"]["error_message"] == "[a] boom in x" and len({r["id"] for r in rows.values()}) == 4
+
+
 def random_runs(spark, n=120):
     """One task holds most runs, as a hot key would."""
     rng = random.Random(3)

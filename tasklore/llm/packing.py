@@ -15,12 +15,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,42 +27,62 @@ from tasklore.llm.common import strings, written
 
 MAX_TOKENS = 2048
 END_ID = 0
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 SHARD_ROWS = 50_000
 RUNS_BROADCAST = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(dict):
-    """Pre-token to its ids as little-endian bytes, asked of the tokenizer once; a bounded memory."""
+def byte_alphabet() -> dict[int, str]:
+    """The characters that byte-level BPE writes for bytes: printable ones stand for themselves, the others come after 255 in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [byte for byte in range(256) if byte not in printable]
+    return {byte: chr(byte) if byte in printable else chr(256 + others.index(byte)) for byte in range(256)}
 
-    def __init__(self, tokenizer):
+
+class BoundedCache(dict):
+    """Values made once a key, in two generations of at most ``CACHE_ENTRIES``: frequent keys move to the young one, the old one goes."""
+
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.make, self.old = make, {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
             self.clear()
-        self[word] = ids
-        return ids
+        self[key] = value
+        return value
 
 
 class DocumentIds:
-    """Token ids of whole texts. The tokenizer encodes each pre-token on its own, so repeated ones are looked up.
+    """Token ids of whole texts. The tokenizer's model encodes each pre-token on its own, so repeated ones are looked up.
 
-    Only texts of common Latin characters are split here: for those every library agrees on letters, digits and white space. All
-    others, and texts that hold a special token, go to the tokenizer whole.
+    Only texts of common Latin characters, without digits that are no ASCII digits, are split here: for those every library agrees on
+    letters, numbers and white space. All others, and texts that hold a special token, go to the tokenizer whole. A pre-token has no
+    space but at its start, so a text whose spaces are single is taken in chunks from space to space.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = WordIds(self.tokenizer)
-        self.split = regex.compile(pattern)
+        self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
+        # The pre-token pattern of the vocabulary, for the characters that ``uncommon`` lets pass.
+        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.uncommon = re.compile("[^\t\n\r -~¡-ɏ]")
+        self.uncommon = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ɏ]")
+        self.words, self.chunks = BoundedCache(self._word), BoundedCache(lambda chunk: self._plain(" " + chunk))
+
+    def _word(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))
+        return np.array([token.id for token in tokens], "<u4").tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.split(text)))
 
     def of(self, text: str | None) -> bytes:
         end = END_ID.to_bytes(4, "little")
@@ -71,7 +90,10 @@ class DocumentIds:
             return end
         if self.uncommon.search(text) or any(token in text for token in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
-        return b"".join(map(self.words.__getitem__, self.split.findall(text))) + end
+        if "  " in text:
+            return self._plain(text) + end
+        first, *others = text.split(" ")
+        return self._plain(first) + b"".join(map(self.chunks.__getitem__, others)) + end
 
 
 def cut(size: int, limit: int) -> list[tuple[int, int]]:
@@ -80,13 +102,13 @@ def cut(size: int, limit: int) -> list[tuple[int, int]]:
     return [(0, min(first, size))] + [(start, limit) for start in range(first, size, limit)]
 
 
-def pieces(documents: DataFrame, tokenizer: str, pattern: str, limit: int = MAX_TOKENS) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer: str, limit: int = MAX_TOKENS) -> DataFrame:
     """Tokenize whole texts and cut them; one row per piece, without the ids."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = None
         for batch in batches:
-            ids_of = ids_of or DocumentIds(tokenizer, pattern)
+            ids_of = ids_of or DocumentIds(tokenizer)
             rows: list[tuple] = []
             for doc_id, text in zip(strings(batch, "doc_id"), strings(batch, "text"), strict=True):
                 ids = ids_of.of(text)
@@ -181,14 +203,14 @@ def plan(counts: dict[int, int], limit: int = MAX_TOKENS) -> list[Run]:
     return runs
 
 
-def pack(documents: DataFrame, tokenizer: str, pattern: str, limit: int = MAX_TOKENS) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, limit: int = MAX_TOKENS) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece.
 
     Ranks inside a length are exact without one task per length: pieces are dealt to shards of about ``SHARD_ROWS`` by hash, ranked inside
     (shard, length), and moved by the counts of that length in earlier shards.
     """
     spark = documents.sparkSession
-    found = written(pieces(documents, tokenizer, pattern, limit), "pieces")
+    found = written(pieces(documents, tokenizer, limit), "pieces")
     shards = max(64, -(-found.count() // SHARD_ROWS))
     dealt = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
     counts = written(dealt.groupBy("shard", "length").agg(F.count("*").alias("n")), "length-counts")
@@ -215,4 +237,4 @@ def pack_bpe(documents: DataFrame) -> DataFrame:
     """The contract of op2 and the last pipeline stage: byte-level BPE of the public tokenizers, 2048 tokens."""
     import public_tokenizers
 
-    return pack(documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pack(documents, public_tokenizers.path("byte_bpe_50k.json"))

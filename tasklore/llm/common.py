@@ -28,10 +28,16 @@ def id_remainder(doc_id: Column, divisor: int) -> Column:
 def smallest_hashes(rows: DataFrame, label: str, per_label: int, key: str = "doc_id") -> DataFrame:
     """At most ``per_label`` rows of each label, those with the smallest key hash: bounded, and the same on every run.
 
-    The rank is cut inside every input partition before the shuffle, so a label with most rows costs no more.
+    Labels are counted first, and only hashes below the share that leaves about four times as many rows are ranked, so the
+    ranking of a label never meets more than that, however many rows it has. There is one row a label to broadcast.
     """
-    ordered = Window.partitionBy(label).orderBy(F.xxhash64(F.lit("sample"), F.col(key)), F.col(key))
-    return rows.withColumn("sample_rank", F.row_number().over(ordered)).filter(F.col("sample_rank") <= per_label).drop("sample_rank")
+    place = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 40))
+    sizes = rows.groupBy(F.col(label).alias("counted_label")).agg(F.count("*").alias("label_rows"))
+    near = rows.join(F.broadcast(sizes), F.col(label) == F.col("counted_label")).filter(
+        place < F.lit(float(1 << 40)) * 4 * per_label / F.col("label_rows"))
+    ordered = Window.partitionBy(label).orderBy(place, key)
+    ranked = near.withColumn("sample_rank", F.row_number().over(ordered)).filter(F.col("sample_rank") <= per_label)
+    return ranked.select(*rows.columns)
 
 
 def strings(batch, name: str) -> list[str | None]:

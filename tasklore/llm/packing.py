@@ -27,7 +27,7 @@ from tasklore.llm.common import strings, written
 
 MAX_TOKENS = 2048
 END_ID = 0
-CACHE_ENTRIES = 200_000
+WORD_ENTRIES, CHUNK_ENTRIES = 350_000, 250_000
 SHARD_ROWS = 50_000
 RUNS_BROADCAST = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -41,17 +41,17 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class BoundedCache(dict):
-    """Values made once a key, in two generations of at most ``CACHE_ENTRIES``: frequent keys move to the young one, the old one goes."""
+    """Values made once a key, in two generations of at most ``entries``: frequent keys move to the young one, the old one goes."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], entries: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.entries, self.old = make, entries, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.entries:
             self.old = dict(self)
             self.clear()
         self[key] = value
@@ -75,7 +75,8 @@ class DocumentIds:
         self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.uncommon = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ɏ]")
-        self.words, self.chunks = BoundedCache(self._word), BoundedCache(lambda chunk: self._plain(" " + chunk))
+        self.words = BoundedCache(self._word, WORD_ENTRIES)
+        self.chunks = BoundedCache(lambda chunk: self._plain(" " + chunk), CHUNK_ENTRIES)
 
     def _word(self, word: str) -> bytes:
         tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))

@@ -20,6 +20,20 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def kept_names(columns: list[str]) -> list[str]:
+    return [f"kept_{number}" for number in range(len(columns))]
+
+
+def packed(rows: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all columns of the table under names that can't clash with those of an operator."""
+    return rows.select(*names, *[rows[name].alias(kept) for name, kept in zip(rows.columns, kept_names(rows.columns), strict=True)])
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns that ``packed`` kept under their own names; ``changed`` gives new values."""
+    return rows.select(*[changed.get(name, F.col(kept)).alias(name) for name, kept in zip(columns, kept_names(columns), strict=True)])
+
+
 def id_remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor

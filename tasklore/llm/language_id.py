@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tasklore.llm.common import id_remainder, smallest_hashes, strings
+from tasklore.llm.common import id_remainder, kept_names, packed, smallest_hashes, strings, unpacked
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -166,7 +167,8 @@ def identify(documents: DataFrame, model: LanguageModel | None, keep: tuple[str,
     """``doc_id``, the columns in ``keep``, ``lang_pred``, ``score`` and ``rejected``; one output row per input row, whole texts."""
     kept = documents.select("doc_id", *keep, F.col("text").alias("lid_text"))
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
-    fields = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in kept.schema[:-1])
+    result = T.StructType([*kept.schema[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                           T.StructField("rejected", T.BooleanType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +184,7 @@ def identify(documents: DataFrame, model: LanguageModel | None, keep: tuple[str,
                 mine = [pa.array(values, field.type) for values, field in zip((languages, scores, rejected), schema, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *mine], names=[*part.schema.names[:-1], *schema.names])
 
-    return kept.mapInArrow(predict, f"{fields}, lang_pred string, score double, rejected boolean")
+    return kept.mapInArrow(predict, result)
 
 
 def parts(batch: pa.RecordBatch, at_most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -209,7 +211,6 @@ def language_query(documents: DataFrame) -> DataFrame:
 def keep_identified(documents: DataFrame) -> DataFrame:
     """Pipeline stage: documents that the model rejects go; all others keep their columns."""
     model = fit(documents)
-    others = [name for name in documents.columns if name not in ("doc_id", "text")]
-    copy = documents.withColumn("text_kept", F.col("text"))
-    found = identify(copy, model, keep=("text_kept", *others)).filter(~F.col("rejected"))
-    return found.withColumnRenamed("text_kept", "text").select(*documents.columns)
+    names = documents.columns
+    found = identify(packed(documents, "doc_id", "text"), model, keep=tuple(kept_names(names)))
+    return unpacked(found.filter(~F.col("rejected")), names)

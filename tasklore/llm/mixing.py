@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tasklore.llm.common import written
+from tasklore.llm.common import packed, unpacked, written
 from tasklore.operators.ranking import with_position
 from tasklore.operators.sizing import measured
 
@@ -79,5 +79,5 @@ def mixture(documents: DataFrame) -> DataFrame:
 def mix(documents: DataFrame) -> DataFrame:
     """Pipeline stage: every document as often as the mixture takes it, with its columns. The text is not shuffled."""
     sized = written(documents.select("source", size_in_words(F.col("text")).alias("size")), "sizes")
-    taken = with_copies(documents, sized).filter("copies > 0")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*documents.columns)
+    taken = with_copies(packed(documents, "doc_id", "source"), sized).filter("copies > 0")
+    return unpacked(taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), documents.columns)

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tasklore.llm.common import written
+from tasklore.llm.common import packed, unpacked, written
 from tasklore.operators.logs import pin
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -293,10 +293,10 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask(documents: DataFrame) -> DataFrame:
     """Pipeline stage: spans are replaced in the text, ``n_chars`` (if there) is its new length; all rows and columns stay."""
-    rows = with_candidates(documents)
     weights = fit(with_candidates(documents.select("text")))
-    kept = pin(rows, spans_kept=accepted(F.col("candidates"), weights)).drop("candidates")
-    done = kept.withColumn("text", masked(F.col("text"), F.col("spans_kept")))
+    kept = pin(with_candidates(packed(documents, "text")), spans_kept=accepted(F.col("candidates"), weights))
+    done = pin(kept, text_masked=masked(F.col("text"), F.col("spans_kept")))
+    changed = {"text": F.col("text_masked")}
     if "n_chars" in documents.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return done.select(*documents.columns)
+        changed["n_chars"] = F.length("text_masked").cast(documents.schema["n_chars"].dataType)
+    return unpacked(done, documents.columns, **changed)

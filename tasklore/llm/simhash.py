@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklore.llm.common import strings, written
+from tasklore.llm.common import packed, strings, unpacked, written
 from tasklore.llm.components import components, merge
 
 SHINGLE_WORDS = 3
@@ -175,7 +175,7 @@ def keep_one_of_each(documents: DataFrame) -> DataFrame:
     groups = written(near_duplicates(documents), "groups")
     dropped = written(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
     small = dropped.count() <= DROPPED_BROADCAST_ROWS
-    kept = documents.join(F.broadcast(dropped) if small else dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    kept = packed(documents, "doc_id", "text").join(F.broadcast(dropped) if small else dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
     repeated = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("repeated_id"))
     if not repeated.isEmpty():
         again = F.col("doc_id") == F.col("repeated_id")
@@ -186,7 +186,7 @@ def keep_one_of_each(documents: DataFrame) -> DataFrame:
         without = fingerprinted_rows(kept.filter("doc_id is null")).join(
             represented, F.col("fingerprint_text") == F.col("represented"), "left_anti").select(*kept.columns)
         kept = kept.filter("doc_id is not null").union(without)
-    return kept
+    return unpacked(kept, documents.columns)
 
 
 def fingerprinted_rows(documents: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def shape(x: str) -> str:
     return f"regexp_replace({normal(x)}, '[^ ]*[0-9][^ ]*', '<*>', 'g')"
 
 
-def lines(source: str, cap: int = fv.MAX_LOG_LINES) -> str:
+def lines(source: str, cap: int = 2**31 - 2) -> str:
     """Structured lines of a (dag_id, task_id, run_id, try_number, start_date, log_content) source."""
     return f"""
 SELECT dag_id, task_id, run_id, try_number, line_number, line_number + skipped AS orig_line_number,

@@ -51,7 +51,8 @@ def no_error_result() -> Column:
 def parse_answer(answer: Column, categories: list[str] | None = None) -> Column:
     """A JSON answer as an analysis struct; unreadable answers and unknown labels give the fallback.
 
-    Malformed JSON parses to a struct of nulls, so failure is read from the corrupt-record field.
+    Malformed JSON parses to a struct of nulls, so failure is read from the corrupt-record field. The text must be one object and
+    nothing else; a null or a number where a text belongs is unreadable, unlike a field that is absent. So is a repeated field.
     """
     names = fv.CATEGORIES if categories is None else categories
     data = F.from_json(_unfence(answer), ANSWER_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"})
@@ -59,6 +60,15 @@ def parse_answer(answer: Column, categories: list[str] | None = None) -> Column:
     name = F.coalesce(data["category"], F.lit("unknown"))
     level = F.coalesce(data["severity"], F.lit("medium"))
     readable = data.isNotNull() & data["_corrupt_record"].isNull()
+    # As the only element of an array, an object can't be followed by anything.
+    whole = F.try_parse_json(F.concat(F.lit("["), _unfence(answer), F.lit("]")))
+
+    def kind(path: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(whole, path, "variant")), F.lit("absent"))
+
+    readable &= whole.isNotNull() & (kind("$[1]") == "absent") & (kind("$[0].confidence") != "VOID")
+    for field in ("error_message", "category", "severity"):
+        readable &= kind(f"$[0].{field}").isin("absent", "STRING")
     valid = readable & sure.isNotNull() & name.isin(*names) & level.isin(*fv.SEVERITIES)
     parsed = F.struct(
         F.coalesce(data["error_message"], F.lit(fv.UNKNOWN_ERROR)).alias("error_message"),

@@ -5,7 +5,7 @@ overridden by passing another value to the function that uses them.
 """
 
 # ---------------------------------------------------------------- limits and defaults (fixed values)
-MAX_LOG_LINES = 1000
+MAX_LOG_LINES = 1000  # the tail that callers may ask for; nothing applies it by default
 BASELINE_RUNS = 3
 BASELINE_REFRESH_DAYS = 7
 BASELINE_RETENTION_DAYS = 30

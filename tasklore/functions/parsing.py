@@ -30,19 +30,23 @@ def level(line: Column) -> Column:
     return F.when(found == "", F.lit(fv.DEFAULT_LEVEL)).otherwise(found)
 
 
-def tail(log: Column, max_lines: int = fv.MAX_LOG_LINES) -> Column:
-    """The last ``max_lines`` lines of a log as an array (slice with a negative start would lose short logs)."""
+def tail(log: Column, max_lines: int | None = None) -> Column:
+    """The lines of a log as an array; with ``max_lines``, the last ones (slice with a negative start would lose short logs)."""
     lines = F.split(log, "\n")
+    if max_lines is None:
+        return lines
     start = F.greatest(F.size(lines) - F.lit(max_lines) + 1, F.lit(1))
     return F.slice(lines, start, F.lit(max_lines))
 
 
-def dropped_lines(log: Column, max_lines: int = fv.MAX_LOG_LINES) -> Column:
+def dropped_lines(log: Column, max_lines: int | None = None) -> Column:
     """How many leading lines the tail leaves out."""
+    if max_lines is None:
+        return F.lit(0)
     return F.greatest(F.size(F.split(log, "\n")) - F.lit(max_lines), F.lit(0))
 
 
-def structured_lines(log: Column, fallback: Column, max_lines: int = fv.MAX_LOG_LINES, iso: bool = False,
+def structured_lines(log: Column, fallback: Column, max_lines: int | None = None, iso: bool = False,
                      with_template: bool = False) -> Column:
     """Whole log to ``array<struct>`` of its non-blank lines, without leaving the row.
 

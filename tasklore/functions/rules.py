@@ -101,8 +101,8 @@ def _test(rule: Rule, line: Mapping[str, Column], predicates: Mapping[str, Predi
             re.compile(pattern)
         except re.error:
             return None
-        # (?d): only a line feed ends a line, as for the dot of the rule syntax.
-        return message.rlike(("(?d)" if rule.case_sensitive else "(?id)") + java_pattern(bare_search(pattern)))
+        # (?d): only a line feed ends a line, as for the dot of the rule syntax; (?U): letters, digits and case of all scripts.
+        return message.rlike(("(?dU)" if rule.case_sensitive else "(?iduU)") + java_pattern(bare_search(pattern)))
     if rule.kind == "length_threshold":
         try:
             return F.length(text.strip(message)) < int(pattern)

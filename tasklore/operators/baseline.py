@@ -36,7 +36,7 @@ class TreeSettings:
 
 
 def baseline_lines(tasks: DataFrame, logs: DataFrame, runs: int = fv.BASELINE_RUNS,
-                   max_lines: int = fv.MAX_LOG_LINES) -> DataFrame:
+                   max_lines: int | None = None) -> DataFrame:
     """Structured lines of the runs that make up each baseline.
 
     The run keys come first and are few (a handful per task); they are measured and broadcast to the
@@ -119,9 +119,10 @@ def baseline_state(tasks: DataFrame, baseline: DataFrame, as_of: datetime,
 
 def refresh(tasks: DataFrame, stored: DataFrame, rebuilt: DataFrame, as_of: datetime,
             refresh_days: int = fv.BASELINE_REFRESH_DAYS) -> DataFrame:
-    """Fresh baselines are kept, stale ones replaced by their rebuilt form."""
+    """Stale baselines are replaced by their rebuilt form; one that nothing can replace stays in use, as do fresh ones."""
     stale = baseline_state(tasks, stored, as_of, refresh_days).filter("is_stale").select(*TASK_KEY)
-    return stored.join(stale, TASK_KEY, "left_anti").unionByName(rebuilt.join(stale, TASK_KEY, "left_semi"))
+    new = rebuilt.join(stale, TASK_KEY, "left_semi")
+    return stored.join(new.select(*TASK_KEY).distinct(), TASK_KEY, "left_anti").unionByName(new)
 
 
 def listing(tasks: DataFrame, baseline: DataFrame, as_of: datetime, runs: int = fv.BASELINE_RUNS,

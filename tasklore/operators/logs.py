@@ -14,7 +14,7 @@ from tasklore.functions import parsing, templates, text
 from tasklore.schemas import TRY_KEY
 
 
-def log_entries(tries: DataFrame, max_lines: int = fv.MAX_LOG_LINES, iso: bool = False) -> DataFrame:
+def log_entries(tries: DataFrame, max_lines: int | None = None, iso: bool = False) -> DataFrame:
     """One row per non-blank line. ``line_number`` counts inside the kept tail, ``orig_line_number`` in the log."""
     lines = tries.select(
         *TRY_KEY, "start_date",
@@ -45,7 +45,7 @@ def _stripped(lines: Column) -> Column:
     return F.posexplode_outer(both).alias("position", "item")
 
 
-def with_lines(tries: DataFrame, max_lines: int = fv.MAX_LOG_LINES, iso: bool = False,
+def with_lines(tries: DataFrame, max_lines: int | None = None, iso: bool = False,
                with_template: bool = False) -> DataFrame:
     """Add ``lines``, the structured lines of the try."""
     return pin(tries, lines=parsing.structured_lines(

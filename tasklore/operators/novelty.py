@@ -40,7 +40,7 @@ def attach_known(tries: DataFrame, baseline: DataFrame, salts: int = SALTS,
     return tries.withColumn("salt", salt).join(repeated, [*TASK_KEY, "salt"], "left").drop("salt")
 
 
-def shape_novelty(tries: DataFrame, baseline: DataFrame, max_lines: int = fv.MAX_LOG_LINES) -> DataFrame:
+def shape_novelty(tries: DataFrame, baseline: DataFrame, max_lines: int | None = None) -> DataFrame:
     """Add ``lines`` and ``anomalous`` using order-free templates.
 
     Anomalous is the first line of each template outside the baseline; without a baseline every line is.
@@ -52,7 +52,7 @@ def shape_novelty(tries: DataFrame, baseline: DataFrame, max_lines: int = fv.MAX
     return log_ops.pin(shaped, anomalous=F.when(F.col("known").isNull(), F.col("lines")).otherwise(first)).drop("shapes")
 
 
-def tree_novelty(tries: DataFrame, baseline: DataFrame, max_lines: int = fv.MAX_LOG_LINES,
+def tree_novelty(tries: DataFrame, baseline: DataFrame, max_lines: int | None = None,
                  settings: TreeSettings = TreeSettings()) -> DataFrame:
     """Add ``lines`` and ``anomalous`` using the template tree seeded with the baseline.
 

@@ -24,7 +24,7 @@ def surviving(lines: Column, rule_set: rules.RuleSet) -> Column:
 
 
 def candidates_per_try(tries: DataFrame, baseline: DataFrame, rule_set: rules.RuleSet,
-                       max_lines: int = fv.MAX_LOG_LINES, exact: bool = False) -> DataFrame:
+                       max_lines: int | None = None, exact: bool = False) -> DataFrame:
     """Add ``lines``, ``anomalous`` and ``candidates``; ``exact`` uses the template tree instead of shapes."""
     find = novelties.tree_novelty if exact else novelties.shape_novelty
     return log_ops.pin(find(tries, baseline, max_lines), candidates=surviving(F.col("anomalous"), rule_set))
@@ -62,7 +62,7 @@ def analyse(compared: DataFrame, answer: str | None = None) -> DataFrame:
 def analyze_tries(tasks: DataFrame, tries: DataFrame, logs: DataFrame, as_of: datetime,
                   minutes_back: int = fv.LOOKBACK_MINUTES, rule_set: rules.RuleSet | None = None,
                   baseline: DataFrame | None = None, exact: bool = False,
-                  runs: int = fv.BASELINE_RUNS, max_lines: int = fv.MAX_LOG_LINES) -> DataFrame:
+                  runs: int = fv.BASELINE_RUNS, max_lines: int | None = None) -> DataFrame:
     """One result row per failed try of the tasks that failed in the look-back window.
 
     A stored baseline can be passed in; otherwise it is learnt from the latest successful runs in the

@@ -21,7 +21,7 @@ def notifications(analysed: DataFrame, patterns: Mapping[str, Sequence[str]], de
 
 
 def analyse_stream(tries: DataFrame, baseline: DataFrame, rule_set: rules.RuleSet | None = None,
-                   max_lines: int = fv.MAX_LOG_LINES, delay: str = "1 day") -> DataFrame:
+                   max_lines: int | None = None, delay: str = "1 day") -> DataFrame:
     """Failed tries with their logs, as they arrive, to analysed results.
 
     The per-try operators are the ones of the batch plan: a try stays one row and only meets the stored

@@ -42,7 +42,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.split("[")[0] == "local":  # local-cluster has executors of its own
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="tasklore-")
         spark.conf.set(CHECKPOINT_KEY, base)

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tasklore.functions.answers import parse_answer
 from tasklore.functions import answers, parsing, prompts, rules, scoring, similarity, templates, text
 from tasklore.functions import fixed_values as fv
 
@@ -264,3 +265,17 @@ def test_similarity(spark):
 def test_redact(spark):
     masked = one(spark, "mail a.b@c.org from 10.1.2.3 token=abc123 id 123456789 " + "f" * 32, text.redact)
     assert masked == "mail <EMAIL> from <ADDRESS> token=<SECRET> id <DIGITS> <HEX>"
+
+
+def test_answers_must_be_one_object_with_texts(spark):
+    texts = ['{"error_message":"x"}', '{"error_message":"x"} trailing', '{"error_message":null}', '{"error_message":3}', '{"category":null}',
+             '{"confidence":null}', '{"error_message":"x"},{"a":1}']
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, answer string").orderBy("id")
+    found = [row[0] for row in frame.select(parse_answer(frame.answer)["error_message"]).collect()]
+    assert found[0] == "x" and len(set(found[1:])) == 1 and found[1] != "x"
+
+
+def test_rules_fold_case_of_all_scripts(spark):
+    frame = spark.createDataFrame([("über alles",), ("UBER",)], "message string")
+    test = rules._test(rules.Rule("regex", r"\b(ÜBER|finished)\b"), {"message": F.col("message")}, {})
+    assert [row.message for row in frame.filter(test).collect()] == ["über alles"]

@@ -294,3 +294,32 @@ def test_answer_provider_survives_failures(spark):
 
     frame = spark.createDataFrame([("a",), ("bad",)], "prompt string").coalesce(1)
     assert {r["prompt"]: r["answer"] for r in extension.with_answers(frame, provider, batch=1).collect()} == {"a": "a!", "bad": None}
+
+
+def test_failing_user_code_loses_only_its_own_rows(spark):
+    def provider(texts):
+        if "bad" in texts:
+            raise ValueError("bad")
+        return [text + "!" for text in texts]
+
+    def test(messages):
+        if (messages == "bad").any():
+            raise ValueError("bad")
+        return messages.str.len() == 1
+
+    predicate = extension.vectorised_predicate(test)
+    for parts in (1, 3):
+        frame = spark.createDataFrame([("a",), ("bad",), ("bb",), ("c",)], "prompt string").repartition(parts)
+        found = {r["prompt"]: r["answer"] for r in extension.with_answers(frame, provider).collect()}
+        assert found == {"a": "a!", "bad": None, "bb": "bb!", "c": "c!"}
+        matched = {r["prompt"] for r in frame.filter(predicate({"message": F.col("prompt")})).collect()}
+        assert matched == {"a", "c"}
+
+
+def test_stale_baseline_without_replacement_stays(spark):
+    old, now = datetime(2024, 1, 1), datetime(2024, 3, 1)
+    schema = "dag_id string, task_id string, template string, size long, created_at timestamp_ntz, last_updated timestamp_ntz"
+    stored = spark.createDataFrame([("d", "a", "x", 1, old, old), ("d", "b", "y", 1, old, old)], schema)
+    rebuilt = spark.createDataFrame([("d", "b", "z", 1, now, now)], schema)
+    tasks = stored.select("dag_id", "task_id")
+    assert {(r.task_id, r.template) for r in baseline.refresh(tasks, stored, rebuilt, now).collect()} == {("a", "x"), ("b", "z")}

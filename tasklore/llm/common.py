@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tasklore.session import scratch_path
 
+HASHES = 1 << 40
+STRETCHES = 256
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Read the named columns of an input table; a column the table lacks is an error, others are not read."""
@@ -39,19 +42,27 @@ def id_remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
 
 
-def smallest_hashes(rows: DataFrame, label: str, per_label: int, key: str = "doc_id") -> DataFrame:
+def smallest_hashes(rows: DataFrame, label: str, per_label: int | Column, key: str = "doc_id") -> DataFrame:
     """At most ``per_label`` rows of each label, those with the smallest key hash: bounded, and the same on every run.
 
-    Labels are counted first, and only hashes below the share that leaves about four times as many rows are ranked, so the
-    ranking of a label never meets more than that, however many rows it has. There is one row a label to broadcast.
+    Labels are counted first, and only hashes below the share that leaves about four times as many rows are looked at. They are
+    counted by stretches of the hash: stretches that fit are taken whole, and only the one in which ``per_label`` is reached is
+    ranked, so no task ranks a label. Both counts are broadcast: one row a label, and at most ``STRETCHES`` rows a label.
     """
-    place = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 40))
+    wanted = per_label if isinstance(per_label, Column) else F.lit(per_label)
+    place = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(HASHES))
     sizes = rows.groupBy(F.col(label).alias("counted_label")).agg(F.count("*").alias("label_rows"))
-    near = rows.join(F.broadcast(sizes), F.col(label) == F.col("counted_label")).filter(
-        place < F.lit(float(1 << 40)) * 4 * per_label / F.col("label_rows"))
-    ordered = Window.partitionBy(label).orderBy(place, key)
-    ranked = near.withColumn("sample_rank", F.row_number().over(ordered)).filter(F.col("sample_rank") <= per_label)
-    return ranked.select(*rows.columns)
+    share = F.least(F.lit(float(HASHES)) * 4 * wanted / F.col("label_rows"), F.lit(float(HASHES)))
+    near = rows.join(F.broadcast(sizes), F.col(label) == F.col("counted_label")).filter(place < share).withColumn(
+        "stretch", F.floor(place * STRETCHES / share))
+    counts = near.groupBy("counted_label", "stretch").agg(F.count("*").alias("stretch_rows"), F.first(wanted).alias("wanted"))
+    upto = F.sum("stretch_rows").over(Window.partitionBy("counted_label").orderBy("stretch"))
+    counts = counts.withColumn("room", F.col("wanted") - upto + F.col("stretch_rows")).filter("room > 0").drop("wanted")
+    fits = near.join(F.broadcast(counts), ["counted_label", "stretch"])
+    whole, cut = fits.filter("stretch_rows <= room"), fits.filter("stretch_rows > room")
+    ordered = Window.partitionBy("counted_label").orderBy(place, key)
+    ranked = cut.withColumn("sample_rank", F.row_number().over(ordered)).filter(F.col("sample_rank") <= F.col("room"))
+    return whole.select(*rows.columns).union(ranked.select(*rows.columns))
 
 
 def strings(batch, name: str) -> list[str | None]:

@@ -137,9 +137,8 @@ def fit(documents: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_r
     """
     usable = labels.filter(F.col("toxic").isin(0, 1) & (id_remainder(F.col("doc_id"), 5) != 0))
     known = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    chosen = smallest_hashes(known, "label", max(toxic_rows, clean_rows))
-    chosen = smallest_hashes(chosen.filter("label = 1"), "label", toxic_rows).union(
-        smallest_hashes(chosen.filter("label = 0"), "label", clean_rows)).withColumnRenamed("doc_id", "chosen_id")
+    wanted = F.when(F.col("label") == 1, toxic_rows).otherwise(clean_rows)
+    chosen = smallest_hashes(known, "label", wanted).withColumnRenamed("doc_id", "chosen_id")
     # The sample is bounded by its two parameters, so broadcasting it is too.
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id"))
 

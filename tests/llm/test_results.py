@@ -11,11 +11,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tasklore.llm import embedding_dedup, language_id, licenses, mixing, packing, pii, simhash, topk, toxicity
-from tasklore.llm.common import table
+from tasklore.llm.common import smallest_hashes, table
 from tasklore.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
@@ -206,3 +208,14 @@ def test_pipeline(spark, texts):
     assert unique == set(groups.values())
     rows = corpus_pipeline.run(spark, FOLDER).collect()
     assert {row.doc_id for row in rows} <= unique and sum(row.length for row in rows) > 0
+
+
+def test_smallest_hashes_equal_a_plain_ranking(spark):
+    """A hot label, a small one, repeated keys and a limit by label give what ranking each label as a whole gives."""
+    rows = spark.range(4000).select("id", F.when(F.col("id") < 3600, "hot").otherwise("small").alias("kind"))
+    rows = rows.union(rows.filter("id % 5 = 0"))
+    place = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 40))
+    ranks = rows.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(place, "id")))
+    for wanted in (F.lit(1), F.lit(300), F.lit(10_000), F.when(F.col("kind") == "hot", 700).otherwise(3)):
+        plain = sorted(map(tuple, ranks.filter(F.col("rank") <= wanted).select("id", "kind").collect()))
+        assert sorted(map(tuple, smallest_hashes(rows, "kind", wanted, "id").collect())) == plain

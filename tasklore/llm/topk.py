@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tasklore.llm.common import written
 
 CELL_BITS = 5
-QUERY_BLOCK = 512
-CANDIDATE_BLOCK = 16_384
+QUERY_BLOCK = 2048
+CANDIDATE_BLOCK = 4096
 READ_AT_ONCE = 64
 
 

@@ -96,7 +96,7 @@ def d07(v: Views) -> DataFrame:
 SELECT CAST(floor(n * 0.8::DOUBLE) AS BIGINT) AS train_size, n - CAST(floor(n * 0.8::DOUBLE) AS BIGINT) AS validation_size, n AS total_size, n < 50 AS below_minimum
 FROM (SELECT count(*) AS n FROM {_EXTRACTION}) c""")
 def d08(v: Views) -> DataFrame:
-    return datasets.dataset_info(datasets.split_ordered(extraction(v).select("id"), "id"))
+    return datasets.ordered_info(extraction(v))
 
 
 @check("d09_chat_format", f"""

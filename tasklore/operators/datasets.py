@@ -81,10 +81,15 @@ def extraction_set(reviewed: DataFrame, head: str = fv.EXTRACTION_HEAD, tail: st
 
 
 def split_ordered(examples: DataFrame, *order: str, train_ratio: float = 0.8) -> DataFrame:
-    """Add ``split``: the first part in order is train, the rest validation."""
-    placed = with_position(examples, *order)
-    train = F.floor(F.col("total") * F.lit(train_ratio))
-    return placed.withColumn("split", F.when(F.col("position") < train, "train").otherwise("validation")).drop("position", "total")
+    """Add ``split``: the first part in unique ``order`` is train, the rest validation.
+
+    Only the order columns are ranked; the texts are compared with the key of the first validation row and do not move.
+    """
+    placed = with_position(examples.select(*order), *order)
+    bound = placed.filter(F.col("position") == F.floor(F.col("total") * F.lit(train_ratio)))
+    first_held = bound.select(F.struct(*order).alias("key")).scalar()
+    in_train = F.coalesce(F.struct(*order) < first_held, F.lit(True))  # no such row: all are train
+    return examples.withColumn("split", F.when(in_train, "train").otherwise("validation"))
 
 
 def split_random(examples: DataFrame, *key: str, test_ratio: float = 0.2, seed: int = 42) -> DataFrame:
@@ -100,6 +105,14 @@ def dataset_info(split: DataFrame, minimum: int = fv.MIN_TRAINING_EXAMPLES) -> D
         F.count("*").alias("total_size"), (F.count("*") < minimum).alias("below_minimum"))
 
 
+def ordered_info(examples: DataFrame, train_ratio: float = 0.8, minimum: int = fv.MIN_TRAINING_EXAMPLES) -> DataFrame:
+    """What ``dataset_info`` says of an ordered split, from the row count alone."""
+    total = F.col("total_size")
+    train = F.floor(total * F.lit(train_ratio))
+    return examples.agg(F.count("*").alias("total_size")).select(
+        train.alias("train_size"), (total - train).alias("validation_size"), total, (total < minimum).alias("below_minimum"))
+
+
 def chat_format(examples: DataFrame, system: str = fv.CHAT_SYSTEM) -> DataFrame:
     """System, user and assistant messages per example."""
     def message(role: str, content: Column) -> Column:

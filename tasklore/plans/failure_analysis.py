@@ -12,7 +12,7 @@ from tasklore.operators import baseline as baselines
 from tasklore.operators import logs as log_ops
 from tasklore.operators import novelty as novelties
 from tasklore.operators import tasks as task_ops
-from tasklore.schemas import TRY_KEY
+from tasklore.schemas import TASK_KEY, TRY_KEY
 
 
 def surviving(lines: Column, rule_set: rules.RuleSet) -> Column:
@@ -65,14 +65,15 @@ def analyze_tries(tasks: DataFrame, tries: DataFrame, logs: DataFrame, as_of: da
                   runs: int = fv.BASELINE_RUNS, max_lines: int | None = None) -> DataFrame:
     """One result row per failed try of the tasks that failed in the look-back window.
 
-    A stored baseline can be passed in; otherwise it is learnt from the latest successful runs in the
-    same plan.
+    A stored baseline can be passed in; otherwise it is learnt from the latest successful runs of the
+    failed tasks in the same plan: logs of tasks that did not fail are dropped by key at the scan.
     """
     rule_set = rules.preset("notification") if rule_set is None else rule_set
     failed = task_ops.failed_tasks(tasks, as_of, minutes_back)
     texts = task_ops.run_logs(failed, tries, logs)
     if baseline is None:
-        learnt = baselines.baseline_lines(tasks, logs, runs, max_lines)
+        needed = tasks.join(failed.select(*TASK_KEY).distinct(), TASK_KEY, "left_semi")
+        learnt = baselines.baseline_lines(needed, logs, runs, max_lines)
         build = baselines.tree_baseline if exact else baselines.shape_baseline
         baseline = build(learnt, as_of)
     return analyse(compare(candidates_per_try(texts, baseline, rule_set, max_lines, exact)))

@@ -129,6 +129,16 @@ def test_analysis_of_each_try(runs, exact):
     assert (empty["n_lines"], empty["novelty_score"], empty["is_known_pattern"]) == (0, 0.0, False)
 
 
+def test_only_failed_tasks_are_learnt(runs, monkeypatch):
+    healthy = runs.filter("state = 'success'").withColumn("task_id", F.lit("never_fails"))
+    learnt = []
+    build = baseline.shape_baseline
+    monkeypatch.setattr(baseline, "shape_baseline", lambda lines, as_of: learnt.append(lines) or build(lines, as_of))
+    both = runs.unionByName(healthy)
+    assert plan.analyze_tries(both, both, both, AS_OF, 60 * 24 * 60).count() == 4
+    assert healthy.count() and {r["task_id"] for r in learnt[0].select("task_id").collect()}.isdisjoint({"never_fails"})
+
+
 def test_result_rows_keep_both_parts(runs):
     learnt = baseline.shape_baseline(baseline.baseline_lines(runs, runs), datetime(2024, 1, 27, 18))
     analysed = plan.analyze_tries(runs, runs, runs, AS_OF, 60 * 24 * 60, rules.RuleSet(), baseline=learnt)
@@ -273,6 +283,23 @@ def test_ordered_split(spark):
     assert split.filter("split = 'validation'").agg(F.min("id")).first()[0] == 8
 
 
+def test_ordered_split_of_few_or_no_rows(spark):
+    rows = [(None, "a"), ("k1", "b"), ("k2", None), ("k3", ""), ("k4", "e")]
+    split = datasets.split_ordered(spark.createDataFrame(rows, "id string, output string"), "id")
+    assert {r["id"]: r["split"] for r in split.collect()} == {None: "train", "k1": "train", "k2": "train", "k3": "train", "k4": "validation"}
+    whole = datasets.split_ordered(spark.createDataFrame(rows, "id string, output string"), "id", train_ratio=1.0)
+    assert {r["split"] for r in whole.collect()} == {"train"}
+    nothing = spark.createDataFrame([], "id string, output string")
+    assert datasets.split_ordered(nothing, "id").count() == 0
+    assert datasets.ordered_info(nothing).first().asDict() == {"train_size": 0, "validation_size": 0, "total_size": 0, "below_minimum": True}
+
+
+def test_ordered_info_equals_the_counted_split(spark):
+    rows = spark.range(53).select(F.col("id").cast("string").alias("id"))
+    assert datasets.ordered_info(rows).first() == datasets.dataset_info(datasets.split_ordered(rows, "id")).select(
+        "train_size", "validation_size", "total_size", "below_minimum").first()
+
+
 def test_random_split_is_repeatable(spark):
     rows = spark.range(5000)
     one = {r["id"] for r in datasets.split_random(rows, "id").filter("split = 'train'").collect()}

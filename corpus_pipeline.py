@@ -41,7 +41,7 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-# Trained models, hashes and packing have no SQL form; tests/llm/test_pipeline.py checks the stages by brute force.
+# Trained models, hashes and packing have no SQL form; tests/llm/test_results.py checks the stages by brute force.
 ORACLE_SQL = None
 
 

@@ -1,4 +1,7 @@
-"""From failed tries to analysed results, for all tries in one lazy plan."""
+"""From failed tries to analysed results, for all tries at once.
+
+The result is lazy, but planning it writes and measures the small key tables (failed tries, baseline runs, template arrays).
+"""
 
 from __future__ import annotations
 

@@ -59,23 +59,27 @@ def search(queries: np.ndarray, codes: np.ndarray, exact: np.ndarray, low: np.nd
         others = np.flatnonzero(ids != query_id)
         own = bounds[row, others]
         best_scores, best_ids = np.zeros(0), np.zeros(0, np.int64)
-        taken, ahead = 0, READ_AT_ONCE
-        order = np.zeros(0, np.int64)
-        while taken < len(others):
-            if taken == len(order):  # the next candidates by bound, more of them each time
-                count = min(len(others), taken + ahead)
-                order = np.argpartition(-own, count - 1)[:count] if count < len(others) else np.arange(count)
-                order = order[np.argsort(-own[order], kind="stable")]
-                ahead *= 4
-            part = order[taken:taken + READ_AT_ONCE]
-            if len(best_scores) == k and own[part[0]] < best_scores[-1]:
-                break
-            places = others[part]
-            best_scores = np.concatenate([best_scores, exact[places] @ queries[row]])
-            best_ids = np.concatenate([best_ids, ids[places]])
-            keep = np.lexsort((best_ids, -best_scores))[:k]
-            best_scores, best_ids = best_scores[keep], best_ids[keep]
-            taken += len(part)
+        rest, ahead = np.arange(len(others)), READ_AT_ONCE
+        done = False
+        while len(rest) and not done:
+            # The next candidates by bound, more of them each time. Each round splits what is left, so that rows with equal bounds are read once.
+            if ahead < len(rest):
+                split = np.argpartition(-own[rest], ahead - 1)
+                near, rest = rest[split[:ahead]], rest[split[ahead:]]
+            else:
+                near, rest = rest, rest[:0]
+            near = near[np.argsort(-own[near], kind="stable")]
+            ahead *= 4
+            for begin in range(0, len(near), READ_AT_ONCE):
+                part = near[begin:begin + READ_AT_ONCE]
+                if len(best_scores) == k and own[part[0]] < best_scores[-1]:
+                    done = True
+                    break
+                places = others[part]
+                best_scores = np.concatenate([best_scores, exact[places] @ queries[row]])
+                best_ids = np.concatenate([best_ids, ids[places]])
+                keep = np.lexsort((best_ids, -best_scores))[:k]
+                best_scores, best_ids = best_scores[keep], best_ids[keep]
         out += [(int(query_id), int(vec_id), int(score)) for vec_id, score in zip(best_ids, best_scores, strict=True)]
     return out
 

@@ -12,7 +12,6 @@ trained on the templates alone and there are no rows.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,34 +51,53 @@ class LicenseModel:
     bias: np.ndarray
     scale: float
     bound: float
-    words: frozenset[str]
 
-    def predict(self, words: list[str]) -> tuple[str, float]:
-        found = [self.features[gram] for gram in grams(words) if gram in self.features]
-        logits = (self.bias + self.weights[found].sum(axis=0)) * self.scale
-        shares = np.exp(logits - logits.max())
-        shares /= shares.sum()
-        best = int(shares.argmax())
-        unknown = self.families[best] == UNKNOWN or shares[best] < self.bound
-        return (UNKNOWN if unknown else self.families[best]), float(shares[best])
+    def windows(self, words: list[str]) -> list[set[int]]:
+        """The features of every window of ``WINDOW`` words with half overlap. Grams are looked up only where all their words are known."""
+        step = WINDOW // 2
+        found: list[set[int]] = [set() for _ in range(0, max(1, len(words) - step), step)]
+        known = [word in self.features for word in words] + [False] * (ORDERS[-1] - 1)
+        for at in range(len(words)):
+            for order in ORDERS:
+                if not known[at + order - 1]:
+                    break
+                number = self.features.get(" ".join(words[at:at + order]))
+                if number is not None:
+                    late = at // step
+                    if late < len(found):
+                        found[late].add(number)
+                    if late and at + order <= (late + 1) * step:
+                        found[late - 1].add(number)
+        return found
+
+    def judge(self, windows: list[set[int]]) -> list[tuple[str, float]]:
+        """Likeliest family and score of each window; one without a known n-gram is unknown. The bound is left to the caller."""
+        out = [(UNKNOWN, 0.0)] * len(windows)
+        filled = [number for number, window in enumerate(windows) if window]
+        if not filled:
+            return out
+        starts = np.cumsum([0] + [len(windows[number]) for number in filled[:-1]])
+        features = [feature for number in filled for feature in sorted(windows[number])]
+        logits = (self.bias + np.add.reduceat(self.weights[features], starts, axis=0)) * self.scale
+        shares = np.exp(logits - logits.max(axis=1, keepdims=True))
+        shares /= shares.sum(axis=1, keepdims=True)
+        for number, best, score in zip(filled, shares.argmax(axis=1).tolist(), shares.max(axis=1).tolist(), strict=True):
+            out[number] = (self.families[best], score)
+        return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, bool]]:
         """(family, score, confirmed) of each line's windows that are not unknown; windows of a line with the same family count once."""
-        found = []
-        for line in (text or "").split("\n"):
-            lowered = line.lower().split()
-            if sum(token.strip(".,;:()\"'") in self.words for token in set(lowered)) < 2:
-                continue  # a window with fewer than two distinctive words never passes the bound, see train
-            words = WORD.findall(line.lower())
-            hits: dict[str, tuple[float, bool]] = {}
-            for begin in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
-                window = words[begin:begin + WINDOW]
-                family, score = self.predict(window)
-                if family != UNKNOWN:
-                    old = hits.get(family, (0.0, False))
-                    hits[family] = (max(score, old[0]), old[1] or likeness(family, window) >= CONFIRM)
-            found += [(family, score, confirmed) for family, (score, confirmed) in hits.items()]
-        return found
+        lines = [WORD.findall(line) for line in (text or "").lower().split("\n")]
+        windows = [(number, begin * (WINDOW // 2), features) for number, words in enumerate(lines) for begin, features in enumerate(self.windows(words))]
+        hits: dict[tuple[int, str], tuple[float, bool]] = {}
+        for (number, begin, _), (family, score) in zip(windows, self.judge([features for _, _, features in windows]), strict=True):
+            if family == UNKNOWN:
+                continue
+            like = likeness(family, lines[number][begin:begin + WINDOW])
+            if score >= self.bound or like == 1:  # the bound is for doubtful windows, and one with a whole template is none
+                old = hits.get((number, family), (0.0, False))
+                hits[number, family] = (max(score, old[0]), old[1] or like >= CONFIRM)
+        return [(family, score, confirmed) for (_, family), (score, confirmed) in hits.items()]
 
 
 def _varied(template: list[str], filler: list[list[str]], rng: np.random.Generator) -> list[str]:
@@ -95,8 +113,7 @@ def _varied(template: list[str], filler: list[list[str]], rng: np.random.Generat
 def train(corpus: list[list[str]], per_template: int = 40, epochs: int = 8, rate: float = 0.3, false_rate: float = 0.0005, seed: int = 3) -> LicenseModel:
     """Fit on varied templates and on corpus windows that resemble no template; a fifth of both is kept for calibration.
 
-    Features are the n-grams of the templates; all others have weight zero, which keeps the model sparse and a scan cheap. Windows
-    with fewer than two distinctive words (template words that at most one in a hundred corpus windows holds) are of the unknown class by definition.
+    Features are the n-grams of the templates; all others have weight zero, which keeps the model sparse and a scan cheap.
     """
     rng = np.random.default_rng(seed)
     families = [*TEMPLATES, UNKNOWN]
@@ -138,9 +155,7 @@ def train(corpus: list[list[str]], per_template: int = 40, epochs: int = 8, rate
     scale = float(scales[int(np.argmin(losses))])
     wrong = shares(scale)[truths == len(families) - 1][:, :-1].max(axis=1)
     bound = max(0.5, float(np.quantile(wrong, 1 - false_rate))) if len(wrong) else 0.5
-    common = Counter(word for words in plain for word in set(words))
-    distinct = frozenset(word for text in vocabulary for word in text.split() if common[word] * 100 <= len(plain))
-    return LicenseModel(families, features, weights, bias, scale, min(bound, 0.95), distinct)
+    return LicenseModel(families, features, weights, bias, scale, min(bound, 0.95))
 
 
 def fit(documents: DataFrame, sample_rows: int = 2000, windows_per_row: int = 2) -> LicenseModel:

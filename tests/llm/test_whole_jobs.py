@@ -1,8 +1,15 @@
 """Cases in which an operator did less than its whole job."""
 
+from pathlib import Path
+
 import numpy as np
+import pytest
+
+from tasklore.llm import licenses, topk
+from tasklore.llm.common import table
 
-from tasklore.llm import topk
+FOLDER = "/root/testdata/sf0.01"
+pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 
 
 def test_top_k_of_many_exact_copies(spark):
@@ -19,3 +26,25 @@ def test_top_k_of_many_exact_copies(spark):
         wanted |= {(query, rank, vec_id, -score) for rank, (score, vec_id) in enumerate(scores[:5], 1)}
     found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert sorted(map(tuple, found)) == sorted(wanted)
+
+
+@pytest.fixture(scope="module", params=["corpus", "templates alone"])
+def license_model(spark, request):
+    documents = table(spark, FOLDER, "documents", "doc_id", "text")
+    return licenses.fit(documents if request.param == "corpus" else documents.limit(0))
+
+
+def confirmed(model, text):
+    return [family for family, _, yes in model.scan(text) if yes]
+
+
+@pytest.mark.parametrize("form", ["{}", "# {}", "**{}**", "[{}](https://example.org/x)", "<p>{}</p>", "_{}_"])
+def test_license_templates_alone_on_a_line(license_model, form):
+    for family, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            assert confirmed(license_model, "Some words\n" + form.format(text) + "\nother words") == [family], text
+
+
+@pytest.mark.parametrize("text", ["the of and to in a", "", None, "Please read the license before you use it", "no known gram"])
+def test_no_license(license_model, text):
+    assert confirmed(license_model, text) == []

@@ -1,6 +1,6 @@
 """Operator 9, licence scans with a trained paragraph classifier.
 
-Lines are read in windows of at most ``WINDOW`` words with half overlap, so a notice inside a long paragraph is not diluted. A sparse logistic
+Paragraphs, and their lines, are read in windows of at most ``WINDOW`` words with half overlap, so a notice inside a long paragraph is not diluted. A sparse logistic
 regression over word one- to three-grams, trained here on varied templates and on windows of the corpus, names the family or the unknown
 class; its temperature and the bound below which a window counts as unknown are calibrated on windows it has not seen. A predicted family
 is confirmed if the window holds most three-grams of one of its templates.
@@ -28,12 +28,26 @@ WINDOW = 48
 ORDERS = (1, 2, 3)
 CONFIRM = 0.6
 UNKNOWN = "unknown"
+LEADERS = ("dnl", "rem")
 
 
 def grams(words: list[str], orders: tuple[int, ...] = ORDERS) -> set[str]:
     return {" ".join(words[at:at + order]) for order in orders for at in range(len(words) - order + 1)}
 
 
+def paragraphs(text: str | None) -> list[list[list[str]]]:
+    """The words of each line of each paragraph. Lines without words part paragraphs; comment leaders are marks, or one of ``LEADERS``."""
+    found: list[list[list[str]]] = [[]]
+    for line in (text or "").lower().split("\n"):
+        words = WORD.findall(line)
+        words = words[1:] if words and words[0] in LEADERS else words
+        if words:
+            found[-1].append(words)
+        elif found[-1]:
+            found.append([])
+    return [lines for lines in found if lines]
+
+
 TEMPLATE_GRAMS = {family: [grams(WORD.findall(text.lower()), (3,)) for text in texts] for family, texts in TEMPLATES.items()}
 
 
@@ -43,6 +57,14 @@ def likeness(family: str, words: list[str]) -> float:
     return max(len(template & found) / len(template) for template in TEMPLATE_GRAMS[family])
 
 
+def extent(family: str, words: list[str]) -> tuple[float, int, int]:
+    """The likeness, and where the three-grams of the likest template begin and end; all words if there are none."""
+    found = [" ".join(words[at:at + 3]) for at in range(len(words) - 2)]
+    template = max(TEMPLATE_GRAMS[family], key=lambda template: len(template.intersection(found)) / len(template))
+    places = [at for at, gram in enumerate(found) if gram in template]
+    return len(template.intersection(found)) / len(template), places[0] if places else 0, places[-1] + 3 if places else len(words)
+
+
 @dataclass(frozen=True)
 class LicenseModel:
     families: list[str]
@@ -86,15 +108,33 @@ class LicenseModel:
         return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, bool]]:
-        """(family, score, confirmed) of each line's windows that are not unknown; windows of a line with the same family count once."""
-        lines = [WORD.findall(line) for line in (text or "").lower().split("\n")]
-        windows = [(number, begin * (WINDOW // 2), features) for number, words in enumerate(lines) for begin, features in enumerate(self.windows(words))]
+        """(family, score, confirmed) of each paragraph's windows that are not unknown; windows of a paragraph with the same family count once.
+
+        A paragraph of several lines is read as a whole and line by line: the first finds wrapped notices, the second keeps a short one undiluted.
+        A window that holds a mere piece of another family's confirmed notice does not count.
+        """
+        windows = []  # (paragraph, place in it, words, features)
+        for number, lines in enumerate(paragraphs(text)):
+            place, stretches = 0, [(0, [word for line in lines for word in line])]
+            for line in lines if len(lines) > 1 else []:
+                stretches.append((place, line))
+                place += len(line)
+            windows += [(number, start + begin, words[begin:begin + WINDOW], features) for start, words in stretches
+                        for begin, features in zip(range(0, len(words), WINDOW // 2), self.windows(words), strict=False)]
+        notices = []  # (paragraph, first word, end, family, score, likeness)
+        for (number, place, words, _), (family, score) in zip(windows, self.judge([window[-1] for window in windows]), strict=True):
+            if family != UNKNOWN:
+                like, first, end = extent(family, words)
+                if score >= self.bound or like == 1:  # the bound is for doubtful windows, and one with a whole template is none
+                    notices.append((number, place + first, place + end, family, score, like))
+        sure: dict[tuple[int, int], set[tuple]] = {}
+        for number, first, end, family, _, like in notices:
+            if like >= CONFIRM:
+                sure.setdefault((number, first // WINDOW), set()).add((first, end, family, like))
         hits: dict[tuple[int, str], tuple[float, bool]] = {}
-        for (number, begin, _), (family, score) in zip(windows, self.judge([features for _, _, features in windows]), strict=True):
-            if family == UNKNOWN:
-                continue
-            like = likeness(family, lines[number][begin:begin + WINDOW])
-            if score >= self.bound or like == 1:  # the bound is for doubtful windows, and one with a whole template is none
+        for number, first, end, family, score, like in notices:
+            near = [notice for back in (0, 1) for notice in sure.get((number, first // WINDOW - back), ())]
+            if not any(begin <= first and end <= until and other != family and like < most for begin, until, other, most in near):
                 old = hits.get((number, family), (0.0, False))
                 hits[number, family] = (max(score, old[0]), old[1] or like >= CONFIRM)
         return [(family, score, confirmed) for (_, family), (score, confirmed) in hits.items()]

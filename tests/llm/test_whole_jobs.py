@@ -1,5 +1,6 @@
 """Cases in which an operator did less than its whole job."""
 
+import textwrap
 from pathlib import Path
 
 import numpy as np
@@ -48,3 +49,17 @@ def test_license_templates_alone_on_a_line(license_model, form):
 @pytest.mark.parametrize("text", ["the of and to in a", "", None, "Please read the license before you use it", "no known gram"])
 def test_no_license(license_model, text):
     assert confirmed(license_model, text) == []
+
+
+@pytest.mark.parametrize("leader", ["", "# ", " * ", "dnl "])
+@pytest.mark.parametrize("width", [60, 66, 72, 80])
+def test_wrapped_license_templates(license_model, width, leader):
+    for family, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            wrapped = "\n".join(leader + line for line in textwrap.wrap(text, width))
+            assert [(found, yes) for found, _, yes in license_model.scan("Title\n" + leader + "\n" + wrapped)] == [(family, True)], text
+
+
+def test_license_notices_of_neighbouring_lines(license_model):
+    text = "Some words\nReleased under the MIT License\nLicensed under CC BY-NC 4.0\n\nSPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0\n"
+    assert set(confirmed(license_model, text)) == {"MIT", "CC-BY-NC", "Apache"}

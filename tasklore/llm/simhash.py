@@ -153,26 +153,32 @@ def links(distinct: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -> D
     return dealt.repartition("tile").sortWithinPartitions("tile", "ones").mapInArrow(search, "left_node long, right_node long")
 
 
-def near_duplicates(documents: DataFrame, radius: int = 3) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (hex) and ``component_id`` of every document."""
+def grouped(documents: DataFrame, radius: int = 3) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (hex), ``component_id`` and ``component`` (one fingerprint of it, also where no row has an id) of every document."""
     prints = written(fingerprints(documents), "fingerprints")
     distinct = written(prints.groupBy("fingerprint_bits").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     joined = components(links(distinct, radius)).withColumnRenamed("node", "fingerprint_bits").join(distinct, "fingerprint_bits")
     named = joined.select("fingerprint_bits", "component").join(
-        joined.groupBy("component").agg(F.min("least_id").alias("linked_id")), "component").select("fingerprint_bits", "linked_id")
+        joined.groupBy("component").agg(F.min("least_id").alias("linked_id")), "component").select("fingerprint_bits", "component", "linked_id")
     classes = distinct.join(named, "fingerprint_bits", "left").select(
-        "fingerprint_bits", F.coalesce("linked_id", "least_id").alias("component_id"))
+        "fingerprint_bits", F.coalesce("linked_id", "least_id").alias("component_id"), F.coalesce("component", "fingerprint_bits").alias("component"))
     return prints.join(classes, "fingerprint_bits").select(
-        "doc_id", F.lpad(F.lower(F.hex("fingerprint_bits")), 16, "0").alias("fingerprint"), "component_id")
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint_bits")), 16, "0").alias("fingerprint"), "component_id", "component")
+
+
+def near_duplicates(documents: DataFrame, radius: int = 3) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (hex) and ``component_id`` of every document."""
+    return grouped(documents, radius).drop("component")
 
 
 def keep_one_of_each(documents: DataFrame) -> DataFrame:
     """Pipeline stage: of every component the document with the smallest id stays, with its columns.
 
-    Rows that repeat an id are one document and stay once. A row without id stays unless a document with an id represents it.
+    Rows that repeat an id are one document and stay once. Of a component without any id one row stays, of its least
+    fingerprint the one with the least hash of text and columns; other rows without id are represented by a document with an id and go.
     Only ids are compared; texts are shuffled only if the ids to drop are too many to broadcast.
     """
-    groups = written(near_duplicates(documents), "groups")
+    groups = written(grouped(documents), "groups")
     dropped = written(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
     small = dropped.count() <= DROPPED_BROADCAST_ROWS
     kept = packed(documents, "doc_id", "text").join(F.broadcast(dropped) if small else dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
@@ -180,11 +186,12 @@ def keep_one_of_each(documents: DataFrame) -> DataFrame:
     if not repeated.isEmpty():
         again = F.col("doc_id") == F.col("repeated_id")
         kept = kept.join(repeated, again, "left_anti").union(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id"]))
-    nameless = groups.filter("doc_id is null and component_id is not null")
+    nameless = groups.filter("doc_id is null")
     if not nameless.isEmpty():
-        represented = nameless.select(F.col("fingerprint").alias("represented")).distinct()
-        without = fingerprinted_rows(kept.filter("doc_id is null")).join(
-            represented, F.col("fingerprint_text") == F.col("represented"), "left_anti").select(*kept.columns)
+        chosen = nameless.filter("component_id is null").groupBy("component").agg(F.min("fingerprint").alias("chosen"))
+        order = F.struct(F.xxhash64("text"), F.xxhash64(F.to_json(F.struct(*kept.columns))))
+        firsts = fingerprinted_rows(kept.filter("doc_id is null")).groupBy("fingerprint_text").agg(F.min_by(F.struct(*kept.columns), order).alias("first"))
+        without = firsts.join(chosen, F.col("fingerprint_text") == F.col("chosen"), "left_semi").select("first.*")
         kept = kept.filter("doc_id is not null").union(without)
     return unpacked(kept, documents.columns)
 

@@ -6,7 +6,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from tasklore.llm import licenses, topk
+from tasklore.llm import licenses, mixing, simhash, topk
 from tasklore.llm.common import table
 
 FOLDER = "/root/testdata/sf0.01"
@@ -63,3 +63,26 @@ def test_wrapped_license_templates(license_model, width, leader):
 def test_license_notices_of_neighbouring_lines(license_model):
     text = "Some words\nReleased under the MIT License\nLicensed under CC BY-NC 4.0\n\nSPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0\n"
     assert set(confirmed(license_model, text)) == {"MIT", "CC-BY-NC", "Apache"}
+
+
+def test_near_duplicates_without_ids_stay_once(spark):
+    """Exact and near copies that all lack an id leave one row; those of a document with an id leave none."""
+    long = " ".join(f"w{number}" for number in range(400))
+    texts = [long] * 4 + [long + " tail"] * 3 + ["other words in another text"] * 3 + ["a document with an id"] * 2
+    rows = [(None, text, f"s{number}") for number, text in enumerate(texts)] + [(7, "a document with an id", "s"), (8, "alone", "s")]
+    prints = [simhash.fingerprint(text) for text in (long, long + " tail")]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3
+    kept = [[(row.doc_id, row.text, row.source) for row in simhash.keep_one_of_each(frame).collect()] for frame in (
+        spark.createDataFrame(part, "doc_id long, text string, source string").repartition(3) for part in (rows, rows[::-1]))]
+    assert sorted(kept[0], key=str) == sorted(kept[1], key=str)
+    assert sorted(doc_id for doc_id, _, _ in kept[0] if doc_id) == [7, 8]
+    assert sorted(text.startswith("w0") for doc_id, text, _ in kept[0] if doc_id is None) == [False, True]
+
+
+def test_mixture_of_rows_without_ids(spark):
+    """Each row without id has a coin of its own, so its source meets its target."""
+    rows = [(None, f"text number{number}", f"s{number % 3}") for number in range(6000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mixture(frame).groupBy("target").agg({"taken": "sum"}).collect()
+    assert found and all(row["sum(taken)"] == pytest.approx(row.target, rel=0.08) for row in found)
+    assert 2 * mixing.mix(frame).count() == sum(row["sum(taken)"] for row in found)

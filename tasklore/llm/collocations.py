@@ -33,8 +33,8 @@ from tasklore.session import scratch_path
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 SHARDS = 3
 FILTER_BITS = 1 << 24  # 2 MB; more bits prune more on larger corpora, the result is the same
-HELD_WORDS = 1 << 20
-HELD_ROWS = 1 << 21
+HELD_WORDS = 1 << 17
+HELD_ROWS = 1 << 20
 BREAK = 0  # between pieces in an encoded text
 SEEDS = range(8)
 

@@ -64,10 +64,10 @@ def postings(documents: DataFrame, terms: DataFrame) -> DataFrame:
 
 def _entries(found: DataFrame, index: DataFrame) -> DataFrame:
     """``window_id, size, term, back, turn``: each word of a window, rarest first; ``back`` is its offset in the window."""
-    counts = index.groupBy("term").agg(F.count("*").alias("n"))
+    counts, small = measured(index.groupBy("term").agg(F.count("*").alias("n")), "term-counts")  # one row a test term
     words = found.select("window_id", F.size("words").alias("size"), F.posexplode("words").alias("back", "term"))
     rarest = Window.partitionBy("window_id").orderBy(F.coalesce("n", F.lit(0)), "back")
-    return written(words.join(counts, "term", "left").withColumn("turn", F.row_number().over(rarest) - 1), "entries")
+    return written(words.join(F.broadcast(counts) if small else counts, "term", "left").withColumn("turn", F.row_number().over(rarest) - 1), "entries")
 
 
 def _lists(index: DataFrame, entries: DataFrame) -> DataFrame:

@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 
 from tasklore.llm.common import packed, strings, unpacked, written
 from tasklore.llm.components import components, merge
+from tasklore.operators.sizing import measured
 
 SHINGLE_WORDS = 3
 SEED = 42
 TILE_ROWS = 4096
 BUFFER_ROWS = 65_536
-DROPPED_BROADCAST_ROWS = 4_000_000
+SALTS = 16
 
 
 def fingerprint(text: str | None) -> int:
@@ -156,14 +157,22 @@ def links(distinct: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -> D
 def grouped(documents: DataFrame, radius: int = 3) -> DataFrame:
     """``doc_id``, ``fingerprint`` (hex), ``component_id`` and ``component`` (one fingerprint of it, also where no row has an id) of every document."""
     prints = written(fingerprints(documents), "fingerprints")
-    distinct = written(prints.groupBy("fingerprint_bits").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
+    distinct = written(prints.groupBy("fingerprint_bits").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct-fingerprints")
     joined = components(links(distinct, radius)).withColumnRenamed("node", "fingerprint_bits").join(distinct, "fingerprint_bits")
     named = joined.select("fingerprint_bits", "component").join(
         joined.groupBy("component").agg(F.min("least_id").alias("linked_id")), "component").select("fingerprint_bits", "component", "linked_id")
-    classes = distinct.join(named, "fingerprint_bits", "left").select(
-        "fingerprint_bits", F.coalesce("linked_id", "least_id").alias("component_id"), F.coalesce("component", "fingerprint_bits").alias("component"))
-    return prints.join(classes, "fingerprint_bits").select(
-        "doc_id", F.lpad(F.lower(F.hex("fingerprint_bits")), 16, "0").alias("fingerprint"), "component_id", "component")
+    # Only fingerprints with company are looked up; a text that is alone names its own class.
+    classes = distinct.join(named, "fingerprint_bits", "left").filter("n > 1 or component is not null").select(
+        "fingerprint_bits", F.coalesce("linked_id", "least_id").alias("class_id"), F.coalesce("component", "fingerprint_bits").alias("class"))
+    classes, small = measured(classes, "classes")
+    if small:
+        placed = prints.join(F.broadcast(classes), "fingerprint_bits", "left")
+    else:  # a fingerprint that a large part of the rows share is spread over salts
+        salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        placed = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["fingerprint_bits", "salt"], "left")
+    return placed.select("doc_id", F.lpad(F.lower(F.hex("fingerprint_bits")), 16, "0").alias("fingerprint"),
+                         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("component_id"),
+                         F.coalesce("class", "fingerprint_bits").alias("component"))
 
 
 def near_duplicates(documents: DataFrame, radius: int = 3) -> DataFrame:
@@ -172,31 +181,40 @@ def near_duplicates(documents: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def keep_one_of_each(documents: DataFrame) -> DataFrame:
-    """Pipeline stage: of every component the document with the smallest id stays, with its columns.
+    """Pipeline stage: one row of every component stays, with its columns.
 
-    Rows that repeat an id are one document and stay once. Of a component without any id one row stays, of its least
-    fingerprint the one with the least hash of text and columns; other rows without id are represented by a document with an id and go.
-    Only ids are compared; texts are shuffled only if the ids to drop are too many to broadcast.
+    It is the row with the smallest id (rows without one last), then the least fingerprint, then the least hash of text and columns.
+    A row is known by its id and its fingerprint, so texts that share an id are judged each for itself. Most ids stay or go as a whole
+    and only they are compared; the rows of the others, and rows without id, are fingerprinted again. Texts are shuffled only
+    if the ids to drop are too many to broadcast.
     """
     groups = written(grouped(documents), "groups")
-    dropped = written(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
-    small = dropped.count() <= DROPPED_BROADCAST_ROWS
-    kept = packed(documents, "doc_id", "text").join(F.broadcast(dropped) if small else dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
-    repeated = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("repeated_id"))
-    if not repeated.isEmpty():
-        again = F.col("doc_id") == F.col("repeated_id")
-        kept = kept.join(repeated, again, "left_anti").union(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id"]))
-    nameless = groups.filter("doc_id is null")
-    if not nameless.isEmpty():
-        chosen = nameless.filter("component_id is null").groupBy("component").agg(F.min("fingerprint").alias("chosen"))
-        order = F.struct(F.xxhash64("text"), F.xxhash64(F.to_json(F.struct(*kept.columns))))
-        firsts = fingerprinted_rows(kept.filter("doc_id is null")).groupBy("fingerprint_text").agg(F.min_by(F.struct(*kept.columns), order).alias("first"))
-        without = firsts.join(chosen, F.col("fingerprint_text") == F.col("chosen"), "left_semi").select("first.*")
-        kept = kept.filter("doc_id is not null").union(without)
-    return unpacked(kept, documents.columns)
+    pairs = written(groups.groupBy("doc_id", "fingerprint").agg(F.count("*").alias("n"), F.min("component").alias("component")), "pairs")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fingerprint")
+    firsts = written(pairs.groupBy("component").agg(F.min(order).alias("first")).select(
+        F.col("first.doc_id").alias("first_id"), F.col("first.fingerprint").alias("first_fingerprint")), "firsts")
+    mine = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("fingerprint") == F.col("first_fingerprint"))
+    stays = F.col("first_fingerprint").isNotNull()
+    ids = pairs.filter("doc_id is not null").join(firsts, mine, "left").groupBy("doc_id").agg(
+        F.bool_or(stays).alias("some"), F.bool_and(stays & (F.col("n") == 1)).alias("whole"))
+    decided = written(ids.filter("not whole").withColumnRenamed("doc_id", "decided_id"), "decided")
+    this = F.col("doc_id") == F.col("decided_id")
+
+    def sent(rows: DataFrame, name: str) -> DataFrame:
+        kept, small = measured(rows.select("decided_id"), name)
+        return F.broadcast(kept) if small else kept
+
+    rows = packed(documents, "doc_id", "text")
+    plain = rows.filter("doc_id is not null").join(sent(decided, "not-whole"), this, "left_anti")
+    careful = rows.filter("doc_id is null").union(rows.join(sent(decided.filter("some"), "in-part"), this, "left_semi"))
+    least = F.struct(F.xxhash64("text"), F.xxhash64(F.to_json(F.struct(*rows.columns))))
+    again = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("fingerprint_text") == F.col("first_fingerprint"))
+    chosen = fingerprinted_rows(careful).join(firsts, again, "left_semi").groupBy("doc_id", "fingerprint_text").agg(
+        F.min_by(F.struct(*rows.columns), least).alias("first")).select("first.*")
+    return unpacked(plain.union(chosen), documents.columns)
 
 
 def fingerprinted_rows(documents: DataFrame) -> DataFrame:
-    """Whole rows with their ``fingerprint_text``; used for the rare rows that have no id to be joined by."""
+    """Whole rows with their ``fingerprint_text``; used for the rows that an id alone does not tell apart."""
     compute = F.pandas_udf(lambda texts: texts.map(lambda text: f"{fingerprint(text) & (1 << 64) - 1:016x}"), "string")
     return documents.withColumn("fingerprint_text", compute(F.coalesce("text", F.lit(""))))

@@ -101,6 +101,38 @@ def test_embedding_links_against_all_pairs(spark, tile_rows):
     assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.95 * near.sum()
 
 
+def test_token_ids_are_those_of_the_tokenizer():
+    ids = packing.DocumentIds(public_tokenizers.path("byte_bpe_50k.json"))
+    make = random.Random(3)
+    alphabet = ["a", "Bcd", "élan", "ß", "don't", "WE'LL", "12", "3.5", ".", ",", "!?", "...", "_", "a_b", "-", "ª", "º", "²", "日", "\t", "\n", "\r\n", " ", "  ", "\u00a0", "(x)", "x;", "Ñ!", "<|endoftext|>"]
+    for _ in range(4000):
+        text = "".join(make.choice(alphabet) + make.choice(("", " ", " ", "\n")) for _ in range(make.randint(1, 12)))
+        expected = [*ids.tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        assert np.frombuffer(ids.of(text), "<u4").tolist() == expected, text
+
+
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    """One row of each component stays: the first by (id, fingerprint), no text is lost and none stays twice."""
+    make = random.Random(5)
+    base = [" ".join(make.choice(["red", "blue", "green", "oak", "elm", "sky"]) + str(make.randint(0, 99)) for _ in range(30)) for _ in range(9)]
+    rows = [(3, base[0], "a"), (7, base[0], "b"), (7, base[1], "c"), (7, base[1], "d"), (7, base[1], "c"), (None, base[2], "e"), (None, base[2], "f"),
+            (None, base[1], "g"), (9, base[2] + " ", "h"), (None, base[3], "i"), (None, base[3], "j"), (12, None, "k"), (12, "", "l"), (5, base[4], "m"), (5, base[5], "n"), (4, base[5], "o"), (8, base[6], "p")]
+    results = []
+    for parts in (1, 5):
+        frame = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string").repartition(parts)
+        results.append(sorted(map(tuple, simhash.keep_one_of_each(frame).collect()), key=str))
+    assert results[0] == results[1]
+    prints = {text: brute_fingerprint(text) for _, text, _ in rows}
+    assert min((one ^ other).bit_count() for one in prints.values() for other in prints.values() if one != other) > 3
+    groups = {}
+    for row in rows:
+        groups.setdefault(prints[row[1]], []).append(row)
+    assert len(results[0]) == len(groups)
+    for row in results[0]:
+        members = groups[prints[row[1]]]
+        assert row in members and row[0] == min((member[0] for member in members if member[0] is not None), default=None)
+
+
 def test_packing_round_trip(spark, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     chosen = dict(list(texts.items())[:80]) | {9_001: "a \n\n  b  c\t日本 ² it's", 9_002: "<|endoftext|>", 9_003: "x" * 9000}

@@ -27,7 +27,8 @@ from tasklore.llm.common import strings, written
 
 MAX_TOKENS = 2048
 END_ID = 0
-WORD_ENTRIES, CHUNK_ENTRIES = 350_000, 250_000
+WORD_ENTRIES, CHUNK_ENTRIES = 400_000, 200_000
+MARKS = frozenset(".,;:!?")
 SHARD_ROWS = 50_000
 RUNS_BROADCAST = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -71,16 +72,28 @@ class DocumentIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
+        self.space = self.alphabet[32]
         # The pre-token pattern of the vocabulary, for the characters that ``uncommon`` lets pass.
         self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.uncommon = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ɏ]")
         self.words = BoundedCache(self._word, WORD_ENTRIES)
-        self.chunks = BoundedCache(lambda chunk: self._plain(" " + chunk), CHUNK_ENTRIES)
+        self.chunks = BoundedCache(self._chunk, CHUNK_ENTRIES)
 
     def _word(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))
-        return np.array([token.id for token in tokens], "<u4").tobytes()
+        if word[:1] == " " and word.isascii() and word[1:].isalpha():
+            spelt = self.space + word[1:]
+        else:
+            spelt = word.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([token.id.to_bytes(4, "little") for token in self.model.tokenize(spelt)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        """A word, or a word and one mark, needs no pattern: a run of letters is one pre-token, and so is a mark after it."""
+        if chunk.isalpha():
+            return self.words[" " + chunk]
+        if chunk[-1:] in MARKS and chunk[:-1].isalpha():
+            return self.words[" " + chunk[:-1]] + self.words[chunk[-1]]
+        return self._plain(" " + chunk)
 
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.split(text)))
@@ -213,7 +226,7 @@ def pack(documents: DataFrame, tokenizer: str, limit: int = MAX_TOKENS) -> DataF
     spark = documents.sparkSession
     found = written(pieces(documents, tokenizer, limit), "pieces")
     shards = max(64, -(-found.count() // SHARD_ROWS))
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
     counts = written(dealt.groupBy("shard", "length").agg(F.count("*").alias("n")), "length-counts")
     totals = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()  # at most one row per length up to the limit
     runs = plan({row.length: row.n for row in totals}, limit)

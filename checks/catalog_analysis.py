@@ -88,7 +88,9 @@ def c08(v: Views) -> DataFrame:
 SELECT s.dag_id, s.task_id, s.template, s.size, CASE WHEN t.is_stale THEN {AS_OF_SQL} ELSE s.last_updated END AS last_updated
 FROM base_stored s JOIN base_state t ON t.dag_id = s.dag_id AND t.task_id = s.task_id""")
 def c09(v: Views) -> DataFrame:
-    return baseline.refresh(v.task_runs, stored(v), learnt(v), AS_OF).select(*TASK_KEY, "template", "size", "last_updated")
+    heavy = v.heavy.task_runs
+    rebuilt = baseline.refresh_stale(v.task_runs, stored(v), lambda stale: baseline.shape_baseline(baseline.baseline_lines(stale, heavy), AS_OF), AS_OF)
+    return rebuilt.select(*TASK_KEY, "template", "size", "last_updated")
 
 
 @check("c10_anomalous_lines", f"SELECT {TRY}, line_number, level, message FROM fail_marked WHERE anomalous")

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import sql
-from checks.catalog_analysis import ANALYZE_SQL, TRY, analysed, learnt
+from checks.catalog_analysis import ANALYZE_SQL, TRY, analysed, failed_texts, learnt, learnt_tree
 from checks.registry import check
 from checks.views import AS_OF, Views
 from tasklore.functions import fixed_values as fv
 from tasklore.functions import similarity, templates
-from tasklore.operators import candidates, datasets, evaluation, feedback, logs
+from tasklore.operators import candidates, datasets, evaluation, feedback, logs, stored_baselines
 from tasklore.plans import monitoring
 from tasklore.schemas import TASK_KEY, TRY_KEY
 from tasklore.session import scratch_path
 from tasklore.sources import readers, writers
 from tasklore.sources.readers import spread
 from tasklore.streaming import failures as stream
+from tasklore.streaming import tree_state
 
 # ---------------------------------------------------------------- training rows
 
@@ -205,18 +206,18 @@ def e09(v: Views) -> DataFrame:
 # ---------------------------------------------------------------- files written to the shared folder and read back
 
 
-@check("k01_store_error_logs", "SELECT id, ts, dag_id, task_id, run_id, error_message, dt AS date FROM error_logs")
+@check("k01_store_error_logs", "SELECT id, ts, dag_id, task_id, run_id, error_message, log_context, resolved, dt AS date FROM error_logs")
 def k01(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "error_logs")
-    writers.store_error_logs(v.error_logs.drop("dt", "log_context", "resolved"), path)
+    writers.store_error_logs(v.error_logs.drop("dt"), path)
     return v.spark.read.parquet(path)
 
 
 @check("k02_store_analysis", """
-SELECT id, error_log_id, extracted_error, predicted_category, confidence_score, model_version, '{"model_version":"' || model_version || '"}' AS analysis_metadata FROM ai_analysis""")
+SELECT id, error_log_id, analysis_ts, extracted_error, predicted_category, predicted_severity, confidence_score, model_version, '{"model_version":"' || model_version || '"}' AS analysis_metadata FROM ai_analysis""")
 def k02(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "ai_analysis")
-    writers.store_analyses(v.ai_analysis.drop("analysis_ts", "predicted_severity"), path)
+    writers.store_analyses(v.ai_analysis, path)
     return v.spark.read.parquet(path)
 
 
@@ -232,10 +233,10 @@ def feedback_rows(v: Views) -> DataFrame:
     return writers.feedback_id(joined)
 
 
-@check("k03_store_feedback", f"SELECT id, feedback_id, reviewer, corrected_category, user_rating FROM {_FEEDBACK_ROWS}")
+@check("k03_store_feedback", f"SELECT id, feedback_id, reviewer, dag_id, task_id, feedback_ts, corrected_category, user_rating, error_message FROM {_FEEDBACK_ROWS}")
 def k03(v: Views) -> DataFrame:
     path = scratch_path(v.spark, "user_feedback")
-    writers.store_feedback(feedback_rows(v).select("id", "feedback_id", "reviewer", "corrected_category", "user_rating"), path)
+    writers.store_feedback(feedback_rows(v), path)
     return v.spark.read.parquet(path)
 
 
@@ -247,9 +248,9 @@ def k08(v: Views) -> DataFrame:
 
 
 def log_folder(v: Views) -> str:
-    """Logs of the failed runs as text files, one folder per run, as a scheduler keeps them."""
+    """Logs of all runs as text files, one folder per run, as a scheduler keeps them."""
     path = scratch_path(v.spark, "logs")
-    texts = v.task_runs.filter("state = 'failed'").select("run_id", F.col("log_content").alias("value"))
+    texts = v.task_runs.select("run_id", F.col("log_content").alias("value"))
     spread(texts, "run_id").write.partitionBy("run_id").text(path)
     return path
 
@@ -258,14 +259,14 @@ def run_of(path: str):
     return F.regexp_extract(path, "run_id=(run_[0-9]+)", 1)
 
 
-@check("s05_raw_logs", "SELECT run_id, log_content || chr(10) AS log_content FROM task_runs WHERE state = 'failed'")
+@check("s05_raw_logs", "SELECT run_id, log_content || chr(10) AS log_content FROM task_runs")
 def s05(v: Views) -> DataFrame:
     return readers.raw_logs(v.spark, log_folder(v)).select(run_of("filepath").alias("run_id"), "log_content")
 
 
 @check("s06_log_manifest", """
 SELECT run_id, dag_id, task_id, date_trunc('second', start_date) AS start_date, date_trunc('second', end_date) AS end_date, log_content || chr(10) AS log_content
-FROM task_runs WHERE state = 'failed'""")
+FROM task_runs""")
 def s06(v: Views) -> DataFrame:
     folder, manifest = log_folder(v), scratch_path(v.spark, "manifest")
     files = readers.raw_logs(v.spark, folder).select("filepath", run_of("filepath").alias("run_id"))
@@ -361,8 +362,15 @@ UNION ALL SELECT 'session', dag_id, min(ts), max(ts) + INTERVAL 30 MINUTE, count
 def t03(v: Views) -> DataFrame:
     parts = []
     for kind, window in (("day", stream.tumbling()), ("hour", stream.sliding()), ("session", stream.session())):
-        path = drain(v, stream.windowed_counts(stream_tries(v), window), f"windows-{kind}", "complete")
-        parts.append(stream.latest_batch(v.spark, path).select(
+        path = scratch_path(v.spark, f"windows-{kind}")
+        store = stream.window_store(v.spark, f"{path}/counts")
+        tries = stream.failed_tries(streamed(v).task_tries).select("dag_id", "start_date")
+        if kind == "session":  # sessions leave the state when they are over; a row far ahead ends the last ones
+            v.spark.sql("SELECT CAST(NULL AS string) AS dag_id, TIMESTAMP_NTZ '2999-01-01' AS start_date").write.parquet(f"{path}/end")
+            tries = tries.union(v.spark.readStream.schema(tries.schema).parquet(f"{path}/end"))
+        counts = stream.windowed_counts(stream.with_event_time(tries), window)
+        finish(stream.to_store(counts, store, f"{path}/state", "append" if kind == "session" else "update"))
+        parts.append(store.read().select(
             F.lit(kind).alias("kind"), "dag_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
             F.col("window_end").cast("timestamp_ntz").alias("window_end"), "failures"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -373,9 +381,10 @@ SELECT date_trunc('day', start_date) AS day, count(*) AS processed, floor(sum(va
   floor(avg(value) * 1e6 + 0.5) / 1e6 AS average_processing_time FROM task_runs WHERE state = 'failed' GROUP BY 1""")
 def t04(v: Views) -> DataFrame:
     results = stream.with_event_time(streamed(v).task_runs.filter("state = 'failed'"))
-    path = drain(v, stream.daily_stats(results, "value"), "stats", "complete")
-    latest = stream.latest_batch(v.spark, path)
-    return latest.select(F.col("day").cast("timestamp_ntz").alias("day"), "processed",
+    path = scratch_path(v.spark, "stats")
+    store = stream.stats_store(v.spark, f"{path}/days")
+    finish(stream.to_store(stream.daily_stats(results, "value"), store, f"{path}/state"))
+    return store.read().select(F.col("day").cast("timestamp_ntz").alias("day"), "processed",
                          *[(F.floor(F.col(n) * 1e6 + 0.5) / 1e6).alias(n) for n in ("total_processing_time", "average_processing_time")])
 
 
@@ -402,8 +411,9 @@ def t05(v: Views) -> DataFrame:
 @check("t05_stream_analysis", ANALYZE_SQL)
 def t05_analysis(v: Views) -> DataFrame:
     tries = streamed(v).task_tries.join(v.task_fail.select("run_id"), "run_id", "left_semi")
-    path = drain(v, monitoring.flat_results(monitoring.analyse_stream(tries, learnt(v))), "stream-analysis")
-    return v.spark.read.parquet(path).drop("batch_id")
+    path = scratch_path(v.spark, "stream-analysis")
+    finish(monitoring.analyse_batches(tries, lambda: learnt(v), f"{path}/out", f"{path}/state"))
+    return v.spark.read.parquet(f"{path}/out").drop("batch_id")
 
 
 @check("t06_baseline_static_join", """
@@ -422,5 +432,30 @@ def t07(v: Views) -> DataFrame:
     lines = logs.log_entries(streamed(v).task_runs.filter("state = 'success'"))
     shaped = lines.select(*TASK_KEY, templates.shape_template(F.col("message")).alias("template"), "ts")
     path = scratch_path(v.spark, "baseline")
-    finish(stream.grow_baseline(shaped, f"{path}/out", f"{path}/state"))
-    return stream.read_baseline(v.spark, f"{path}/out")
+    store = stream.baseline_store(v.spark, f"{path}/out")
+    finish(stream.grow_baseline(shaped, store, f"{path}/state"))
+    return store.read()
+
+
+@check("t06_tree_stream")
+def t06_tree(v: Views) -> DataFrame:
+    """Lines of failed tries in three polls, each going on from the trees the last one left."""
+    path = scratch_path(v.spark, "tree-stream")
+    logs.log_entries(failed_texts(v)).select(*TRY_KEY, "line_number", "message").write.parquet(f"{path}/lines")
+    tree_state.seed_states(learnt_tree(v)).write.parquet(f"{path}/seeds")
+    lines, store = v.spark.read.parquet(f"{path}/lines"), tree_state.fork_store(v.spark, f"{path}/forks", compact_every=2)
+    for poll in ("line_number <= 3", "line_number in (4, 5)", "line_number > 5"):
+        lines.filter(poll).write.mode("append").parquet(f"{path}/in")
+        arriving = v.spark.readStream.schema(lines.schema).parquet(f"{path}/in")
+        finish(tree_state.new_templates(arriving, lambda: v.spark.read.parquet(f"{path}/seeds"), f"{path}/out", f"{path}/state", store))
+    return v.spark.read.parquet(f"{path}/out").drop("batch_id")
+
+
+@check("t07_tree_growth")
+def t07_tree(v: Views) -> DataFrame:
+    """Saved trees of all successful runs, grown in two steps."""
+    store = stored_baselines.tree_store(v.spark, scratch_path(v.spark, "trees"))
+    lines = logs.log_entries(v.heavy.task_runs.filter("state = 'success'"))
+    for step in ("run_id < 'run_5'", "run_id >= 'run_5'"):
+        stored_baselines.grow(store, lines.filter(step), AS_OF)
+    return stored_baselines.templates(store).select(*TASK_KEY, "cluster_no", "template", "size")

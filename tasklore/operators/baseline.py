@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +16,7 @@ from tasklore.functions import fixed_values as fv
 from tasklore.functions import templates
 from tasklore.operators import logs as log_ops
 from tasklore.operators import template_tree
-from tasklore.operators.sizing import join_measured
+from tasklore.operators.sizing import join_measured, measured
 from tasklore.operators.tasks import recent_successes
 from tasklore.schemas import TASK_KEY, TRY_KEY
 
@@ -29,9 +31,9 @@ class TreeSettings:
     depth: int = fv.TREE_DEPTH
     similarity: float = fv.TREE_SIMILARITY
     max_children: int = fv.TREE_MAX_CHILDREN
-    max_clusters: int = fv.TREE_MAX_CLUSTERS
+    max_clusters: int | None = None  # fv.TREE_MAX_CLUSTERS is the usual bound; what it drops is counted in ``evicted_count``
 
-    def args(self) -> tuple[int, float, int, int]:
+    def args(self) -> tuple[int, float, int, int | None]:
         return self.depth, self.similarity, self.max_children, self.max_clusters
 
 
@@ -55,27 +57,69 @@ def shape_baseline(lines: DataFrame, as_of: datetime | Column) -> DataFrame:
     return _identify(numbered, as_of)
 
 
-def tree_baseline(lines: DataFrame, as_of: datetime | Column, settings: TreeSettings = TreeSettings()) -> DataFrame:
-    """Baseline table mined with the template tree, lines fed in (run, try, line) order.
+STATE_SCHEMA = "dag_id string, task_id string, state binary, line_count bigint, template_count int, evicted_count bigint"
+RUN_BITS = 40  # a position is the number of the try, then the line; a log has fewer lines than 2^40
+
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """Normalised texts of each try with the numbers of their lines; merged where the lines are read."""
+    fed = lines.select(*TRY_KEY, "line_number", templates.normalise(F.col("message")).alias("normal"))
+    return fed.groupBy(*TRY_KEY, "normal").agg(F.array_sort(F.collect_list("line_number")).alias("numbers"))
+
 
-    A group is the lines of the last few runs of one task, each cut to the tail length, so its size has a
-    bound that does not depend on how often the task runs.
+def grow_states(lines: DataFrame, states: DataFrame | None = None, settings: TreeSettings = TreeSettings()) -> DataFrame:
+    """Saved trees, one a task, after its lines in (run, try, line) order; given states are grown further, others are new.
+
+    Growing in two steps equals growing once over all lines if the second step's runs come after the first's. A group holds the
+    different texts of one task and the positions of its lines. ``evicted_count`` says how many templates a bounded tree has dropped.
     """
     args = settings.args()
 
-    def mine(group: pd.DataFrame) -> pd.DataFrame:
-        tree = template_tree.TemplateTree(*args)
-        ordered = group.sort_values(["run_id", "try_number", "line_number"], kind="stable")
-        for message in ordered["normal"]:
-            tree.add(message.split(" ") if message else [])
-        rows = [(number, template, size) for number, (_, template, size) in enumerate(tree.templates())]
-        out = pd.DataFrame(rows, columns=["cluster_no", "template", "size"])
-        out.insert(0, "task_id", group["task_id"].iloc[0])
-        out.insert(0, "dag_id", group["dag_id"].iloc[0])
-        return out
+    def mine(key: tuple, saved: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        tree, before = template_tree.TemplateTree(*args), 0
+        if len(saved):
+            tree, before = template_tree.TemplateTree.load(saved["state"].iloc[0]), int(saved["line_count"].iloc[0])
+        places: dict[str, list] = {}
+        for number, (_, part) in enumerate(group.groupby(["run_id", "try_number"], sort=True, dropna=False)):
+            for text, numbers in zip(part["normal"], part["numbers"], strict=True):
+                places.setdefault(text, []).append(np.asarray(numbers, np.int64) + (number << RUN_BITS))
+        tree.feed([(text, np.concatenate(parts).tolist()) for text, parts in places.items()])
+        count = before + sum(len(part) for parts in places.values() for part in parts)
+        row = (*key, tree.save(), count, len(tree.templates()), tree.evicted)
+        return pd.DataFrame([row], columns=["dag_id", "task_id", "state", "line_count", "template_count", "evicted_count"])
+
+    merged = distinct_lines(lines)
+    if states is None:
+        empty = pd.DataFrame(columns=["state", "line_count"])
+        return merged.groupBy(*TASK_KEY).applyInPandas(lambda key, group: mine(key, empty, group), STATE_SCHEMA)
+    known = states.select(*TASK_KEY, "state", "line_count", "template_count", "evicted_count")
+
+    def grow(key: tuple, saved: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        return mine(key, saved, group) if len(group) else saved
+
+    return known.groupBy(*TASK_KEY).cogroup(merged.groupBy(*TASK_KEY)).applyInPandas(grow, STATE_SCHEMA)
 
-    fed = lines.select(*TRY_KEY, "line_number", templates.normalise(F.col("message")).alias("normal"))
-    return _identify(fed.groupBy(*TASK_KEY).applyInPandas(mine, BASELINE_SCHEMA), as_of)
+
+def state_templates(states: DataFrame) -> DataFrame:
+    """Templates of saved trees in creation order: ``dag_id, task_id, cluster_no, template, size``."""
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(dag, task, number, template, size) for dag, task, state in zip(batch["dag_id"], batch["task_id"], batch["state"], strict=True)
+                    for number, (_, template, size) in enumerate(template_tree.TemplateTree.load(state).templates())]
+            yield pd.DataFrame(rows, columns=["dag_id", "task_id", "cluster_no", "template", "size"])
+
+    return states.select(*TASK_KEY, "state").mapInPandas(listed, BASELINE_SCHEMA)
+
+
+def stored_table(states: DataFrame) -> DataFrame:
+    """Saved trees as a baseline table; their own time of update is the age mark."""
+    updated = states.select(*TASK_KEY, "updated_at")
+    return _identify(state_templates(states).join(updated, TASK_KEY), F.col("updated_at"))
+
+
+def tree_baseline(lines: DataFrame, as_of: datetime | Column, settings: TreeSettings = TreeSettings()) -> DataFrame:
+    """Baseline table mined with the template tree, lines fed in (run, try, line) order."""
+    return _identify(state_templates(grow_states(lines, settings=settings)), as_of)
 
 
 def _identify(numbered: DataFrame, as_of: datetime | Column) -> DataFrame:
@@ -125,6 +169,14 @@ def refresh(tasks: DataFrame, stored: DataFrame, rebuilt: DataFrame, as_of: date
     return stored.join(new.select(*TASK_KEY).distinct(), TASK_KEY, "left_anti").unionByName(new)
 
 
+def refresh_stale(tasks: DataFrame, stored: DataFrame, rebuild: Callable[[DataFrame], DataFrame], as_of: datetime,
+                  refresh_days: int = fv.BASELINE_REFRESH_DAYS) -> DataFrame:
+    """As ``refresh``, but only the runs of stale tasks are handed to ``rebuild``: logs of fresh tasks are not read."""
+    stale, small = measured(baseline_state(tasks, stored, as_of, refresh_days).filter("is_stale").select(*TASK_KEY), "stale")
+    new = rebuild(tasks.join(F.broadcast(stale) if small else stale, TASK_KEY, "left_semi"))
+    return stored.join(new.select(*TASK_KEY).distinct(), TASK_KEY, "left_anti").unionByName(new)
+
+
 def listing(tasks: DataFrame, baseline: DataFrame, as_of: datetime, runs: int = fv.BASELINE_RUNS,
             refresh_days: int = fv.BASELINE_REFRESH_DAYS) -> DataFrame:
     """One row per baseline with the number of successful runs behind it."""

@@ -26,7 +26,7 @@ from tasklore.schemas import TASK_KEY
 cloudpickle.register_pickle_by_value(template_tree)
 
 SALTS = 16
-SEEDED_TREES = 64  # trees kept per Python task; tries of one task copy the seeded tree instead of feeding it again
+SEEDED_TREES = 64  # trees kept per Python task; tries of one task fork the seeded tree instead of feeding it again
 
 
 def attach_known(tries: DataFrame, baseline: DataFrame, salts: int = SALTS,
@@ -56,8 +56,8 @@ def tree_novelty(tries: DataFrame, baseline: DataFrame, max_lines: int | None =
                  settings: TreeSettings = TreeSettings()) -> DataFrame:
     """Add ``lines`` and ``anomalous`` using the template tree seeded with the baseline.
 
-    The Python side sees one try per record with at most ``max_clusters`` templates and ``max_lines``
-    lines; Spark bounds an Arrow batch by ``spark.sql.execution.arrow.maxBytesPerBatch``.
+    The Python side sees one try per record with the templates of its task and its lines; equal lines are looked at together.
+    Spark bounds an Arrow batch by ``spark.sql.execution.arrow.maxBytesPerBatch``.
     """
     attached = log_ops.with_lines(attach_known(tries, baseline), max_lines)
     fed = attached.withColumns({
@@ -96,9 +96,10 @@ def _created_positions(settings: TreeSettings):
                     if len(kept) >= SEEDED_TREES:
                         kept.pop(next(iter(kept)))
                     kept[key] = seeded(key)
-                tree = kept[key].copy()
-                out.append([n for n, text in enumerate(line, start=1)
-                            if tree.add(split(text))[0] == template_tree.CREATED])
+                places: dict[str, list[int]] = {}
+                for number, text in enumerate(line, start=1):
+                    places.setdefault(text, []).append(number)
+                out.append(kept[key].fork().feed(places.items()))
             yield pd.Series(out)
 
     return F.pandas_udf(created, "array<int>")

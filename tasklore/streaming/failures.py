@@ -1,4 +1,4 @@
-"""Continuous forms of the failure analysis. Watermarks bound all state; sinks are idempotent per batch."""
+"""Continuous forms of the failure analysis. Watermarks bound all state; sinks are idempotent per batch, keyed tables are compacted."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from tasklore.operators import alerts
 from tasklore.schemas import TASK_KEY, TRY_KEY
+from tasklore.sources.keyed_store import KeyedStore
 
 EVENT_TIME = "event_time"
 
@@ -84,6 +85,30 @@ def to_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     return _start(stream, write, checkpoint, mode, trigger or {"availableNow": True})
 
 
+def to_store(stream: DataFrame, store: KeyedStore, checkpoint: str, mode: str = "update", trigger: dict | None = None) -> StreamingQuery:
+    """Merge every micro-batch into a keyed table. In ``update`` mode a batch holds the keys it changed, in ``append`` mode those that are final;
+    in both, state behind the watermark is dropped and late rows are left out."""
+    return _start(stream, lambda batch, batch_id: store.apply(batch, batch_id) and None, checkpoint, mode, trigger or {"availableNow": True})
+
+
+def window_store(spark: SparkSession, path: str, compact_every: int = 16) -> KeyedStore:
+    """Counts by dag and window; the newest count of a window holds."""
+    schema = StructType.fromDDL("dag_id string, window_start timestamp, window_end timestamp, failures bigint")
+    return KeyedStore(spark, path, schema, ["dag_id", "window_start", "window_end"], compact_every=compact_every)
+
+
+def stats_store(spark: SparkSession, path: str, compact_every: int = 16) -> KeyedStore:
+    """Daily statistics, one row a day."""
+    schema = StructType.fromDDL("day timestamp, processed bigint, total_processing_time double, average_processing_time double")
+    return KeyedStore(spark, path, schema, ["day"], compact_every=compact_every)
+
+
+def baseline_store(spark: SparkSession, path: str, compact_every: int = 16) -> KeyedStore:
+    """Template counts by task: sizes add up, the newest time holds."""
+    schema = StructType.fromDDL("dag_id string, task_id string, template string, size bigint, last_updated timestamp_ntz")
+    return KeyedStore(spark, path, schema, [*TASK_KEY, "template"], {"size": F.sum, "last_updated": F.max}, compact_every)
+
+
 def latest_batch(spark: SparkSession, path: str) -> DataFrame:
     """Result of a complete-mode stream: the rows of its last batch."""
     stored = spark.read.parquet(path)
@@ -109,21 +134,15 @@ def to_results(results: DataFrame, path: str, checkpoint: str, patterns: dict, d
     return _start(results, write, checkpoint, "append", trigger or {"availableNow": True})
 
 
-def grow_baseline(lines: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Incremental baseline: every batch adds its own template counts; nothing stored is rewritten.
+def grow_baseline(lines: DataFrame, store: KeyedStore, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Incremental baseline: every batch adds its own template counts to a ``baseline_store``; a batch delivered again adds nothing.
 
     ``lines`` has dag_id, task_id, template and ts.
     """
-    def counts(batch: DataFrame) -> DataFrame:
-        return batch.groupBy(*TASK_KEY, "template").agg(F.count("*").alias("size"), F.max("ts").alias("last_updated"))
-
-    return to_batches(lines, path, checkpoint, transform=counts, trigger=trigger)
-
+    def add(batch: DataFrame, batch_id: int) -> None:
+        store.apply(batch.groupBy(*TASK_KEY, "template").agg(F.count("*").alias("size"), F.max("ts").alias("last_updated")), batch_id)
 
-def read_baseline(spark: SparkSession, path: str) -> DataFrame:
-    """The grown baseline: sizes summed and the newest time kept over all batches."""
-    return spark.read.parquet(path).groupBy(*TASK_KEY, "template").agg(
-        F.sum("size").alias("size"), F.max("last_updated").alias("last_updated"))
+    return _start(lines, add, checkpoint, "append", trigger or {"availableNow": True})
 
 
 def unknown_lines(lines: DataFrame, baseline: DataFrame) -> DataFrame:

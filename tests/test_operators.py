@@ -60,7 +60,7 @@ def test_tree_limits():
     tree = TemplateTree(max_children=3, max_clusters=2)
     for word in ("a", "b", "c", "d"):
         tree.add([word, "x", "y"])
-    assert len(tree.clusters) == 2
+    assert len(tree.templates()) == 2 and tree.evicted == 1
     assert tree.add(["a", "x", "y"])[0] == CREATED  # evicted as least recently used
     deep = TemplateTree(depth=5)
     deep.add(["a", "b", "c", "d", "e"])
@@ -72,12 +72,51 @@ def test_tree_copy_is_independent():
     for line in random_lines(8):
         tree.add(line)
     before = tree.templates()
-    twin = tree.copy()
+    twin = tree.fork()
     outcomes = [twin.add(line)[0] for line in random_lines(9)]
     assert tree.templates() == before and twin.templates() != before
     assert outcomes == [tree.add(line)[0] for line in random_lines(9)]
 
 
+def by_line(tree, lines):
+    return [number for number, line in enumerate(lines) if tree.add(line)[0] == CREATED]
+
+
+def places(lines, start=0):
+    found = {}
+    for number, line in enumerate(lines, start):
+        found.setdefault(" ".join(line), []).append(number)
+    return list(found.items())
+
+
+@pytest.mark.parametrize("settings", [{}, {"depth": 5}, {"depth": 6, "max_children": 3}, {"max_children": 4}, {"similarity": 0.7}, {"max_clusters": 5}])
+def test_texts_with_positions_equal_line_by_line(settings):
+    for seed in range(40):
+        rng = random.Random(seed)
+        words = ["load", "table", "read", "x1", "x2", "y3", "done", "<*>", "q"][: rng.randint(3, 9)]
+        fed = [[rng.choice(words) for _ in range(rng.randint(0, 4))] for _ in range(rng.randint(1, 300))]
+        slow, quick = TemplateTree(**settings), TemplateTree(**settings)
+        for part in (fed, fed[::-1]):  # a second feeding goes on from the first
+            assert quick.feed(places(part)) == by_line(slow, part)
+            assert quick.templates() == slow.templates() and quick.evicted == slow.evicted
+
+
+def test_saved_and_forked_trees_go_on_like_the_first():
+    for settings in ({}, {"max_clusters": 6}, {"depth": 5, "max_children": 3}):
+        tree = TemplateTree(**settings)
+        by_line(tree, random_lines(1))
+        loaded, fork = TemplateTree.load(tree.save()), tree.fork()
+        outcomes = [[one.add(line) for line in random_lines(2)] for one in (tree, loaded, fork)]
+        assert outcomes[0] == outcomes[1] == outcomes[2]
+        assert tree.save() == loaded.save() == fork.save()
+
+
+def test_a_weight_counts_like_repeats():
+    one, many = TemplateTree(), TemplateTree()
+    one.add(["a", "b"], 3)
+    assert [many.add(["a", "b"])[0] for _ in range(3)] == [CREATED, "none", "none"] and one.templates() == many.templates()
+
+
 def test_tree_merges_above_the_threshold():
     tree = TemplateTree()
     assert tree.add("[t] INFO - x y".split())[0] == CREATED
@@ -186,7 +225,7 @@ def test_tree_novelty_equals_brute_force_and_ignores_partitioning(spark):
     for row in failed.collect():
         seen = by_task.get(row["task_id"])
         tree = TemplateTree()
-        for _, template, _ in seen.templates() if seen and seen.clusters else ():
+        for _, template, _ in seen.templates() if seen else ():
             tree.add(remasked[template].split(" "))
         for number, line in enumerate(row["log_content"].split("\n"), start=1):
             if line.strip() and (not seen or tree.add(normal[line.strip()].split(" "))[0] == CREATED):

@@ -106,11 +106,12 @@ def test_replayed_batch_overwrites_itself(spark, tmp_path):
 
 def test_baseline_grows_by_batches(spark, tmp_path):
     schema = "dag_id string, task_id string, template string, ts timestamp_ntz"
+    store = stream.baseline_store(spark, str(tmp_path / "out"))
     for day in (1, 2):
         spark.createDataFrame([("d", "t", "a", datetime(2024, 1, day))] * day, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         lines = stream.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
-        stream.grow_baseline(lines, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    row = stream.read_baseline(spark, str(tmp_path / "out")).first()
+        stream.grow_baseline(lines, store, str(tmp_path / "state")).awaitTermination()
+    row = store.read().first()
     assert (row["size"], row["last_updated"]) == (3, datetime(2024, 1, 2))
 
 

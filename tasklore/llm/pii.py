@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tasklore.llm.common import packed, unpacked, written
+from tasklore.llm.common import kept_names, packed, unpacked, written
 from tasklore.operators.logs import pin
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -45,6 +45,8 @@ LOOSE = {
 }
 CONTEXT_CHARS = 32
 BLOCK = 1024
+TEXT_BLOCK = 32_768
+FAR = (1 << 31) - 1
 # What the gazetteer and context labelers know.
 ENDINGS = ["com", "org", "net", "edu", "gov", "info", "io", "eu", "de", "fr", "es", "it", "uk", "us"]
 COUNTRY_CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
@@ -61,12 +63,12 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def running_sums(values: Column) -> Column:
-    """Sums of an integer array up to each element. Blocks keep the appended arrays short, however many elements there are."""
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Sums, or greatest values, of an integer array up to each element, from 0 on. Blocks keep the appended arrays short, however many elements there are."""
     none = F.array().cast("array<int>")
 
     def added(sums: Column, value: Column) -> Column:
-        return F.array_append(sums, F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0)) + value)
+        return F.array_append(sums, join(F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0)), value))
 
     def blocks(array: Column) -> Column:
         starts = F.sequence(F.lit(0), F.floor((F.size(array) - 1) / BLOCK).cast("int"))
@@ -75,11 +77,19 @@ def running_sums(values: Column) -> Column:
     def moved(inner: Column) -> Column:
         shifts = F.aggregate(inner, F.array(F.lit(0)), lambda sums, block: added(sums, F.get(block, F.size(block) - 1)))
         return bind(shifts, lambda known: F.flatten(F.transform(inner, lambda block, number: bind(
-            F.get(known, number), lambda shift: F.transform(block, lambda value: value + shift)))))
+            F.get(known, number), lambda shift: F.transform(block, lambda value: join(shift, value))))))
 
     return bind(values, lambda array: F.when(F.size(array) > 0, bind(blocks(array), moved)).otherwise(none))
 
 
+def running_sums(values: Column) -> Column:
+    return running(values, lambda one, other: one + other)
+
+
+def running_greatest(values: Column) -> Column:
+    return running(values, F.greatest)
+
+
 def digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -165,10 +175,14 @@ def with_candidates(documents: DataFrame, text: str = "text") -> DataFrame:
             for number, (_, _, pattern) in enumerate(patterns)}
     rows = pin(rows, **gaps)
     arrays = [_found(kind, base, F.col(f"hits_{number}"), F.col(f"gaps_{number}")) for number, (kind, base, _) in enumerate(patterns)]
-    rows = pin(rows, strict=F.concat(*arrays[:len(BASE)]), loose=F.concat(*arrays[len(BASE):]))
-    apart = F.filter("loose", lambda one: ~F.exists("strict", lambda other: (one["start"] < other["stop"]) & (other["start"] < one["stop"])))
-    rows = pin(rows, candidates=F.array_sort(F.concat("strict", apart)))
-    return rows.drop("strict", "loose", *hits, *gaps)
+    rows = pin(rows, merged=F.array_sort(F.concat(*arrays)))
+    # In the order of starts, a proposal meets a base span if one before it ends behind its start, or the next one starts before its end.
+    reached = running_greatest(F.transform("merged", lambda one: F.when(one["base"], one["stop"]).otherwise(0)))
+    ahead = F.reverse(running_greatest(F.reverse(F.transform("merged", lambda one: F.when(one["base"], FAR - one["start"]).otherwise(0)))))
+    rows = pin(rows, reached=reached, ahead=ahead)
+    apart = F.filter("merged", lambda one, number: one["base"] | (
+        (F.get(F.col("reached"), number) <= one["start"]) & (FAR - F.get(F.col("ahead"), number) >= one["stop"])))
+    return pin(rows, candidates=apart).drop("merged", "reached", "ahead", *hits, *gaps)
 
 
 def _normal(values: list[float]) -> list[float]:
@@ -275,26 +289,44 @@ def find(documents: DataFrame) -> DataFrame:
     return kept.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans_kept")).alias("spans"))
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; of overlapping spans the later one gives what it has beyond the earlier."""
-    names = F.array(*[F.lit(f"[{kind.upper()}]") for kind in KINDS])
-    first = F.struct(F.lit(0).alias("last"), F.array().cast("array<struct<gap:int,start:int,kind:int>>").alias("cuts"))
-
-    def step(seen: Column, one: Column) -> Column:
-        start = F.greatest(seen["last"], one["start"])
-        cut = F.struct(seen["last"].alias("gap"), start.alias("start"), one["kind"].alias("kind"))
-        return F.when(one["stop"] > seen["last"], F.struct(one["stop"].alias("last"), F.array_append(seen["cuts"], cut).alias("cuts"))).otherwise(seen)
+def masked(text: Column, spans: Column, block_characters: int = TEXT_BLOCK) -> Column:
+    """The text with every span replaced by its kind in brackets; of overlapping spans the later one gives what it has beyond the earlier.
 
-    done = bind(F.aggregate(spans, first, step), lambda seen: F.concat(
-        F.array_join(F.transform(seen["cuts"], lambda cut: F.concat(F.substring(text, cut["gap"] + 1, cut["start"] - cut["gap"]), F.get(names, cut["kind"]))), ""),
-        F.substring(text, seen["last"] + 1, F.length(text))))
+    A long text is put together by blocks: finding a character takes a walk from the beginning of a string, so a cut walks through one block only.
+    """
+    names = F.array(*[F.lit(f"[{kind.upper()}]") for kind in KINDS])
+    size = F.length(text)
+
+    def cuts(reached: Column) -> Column:
+        before = F.transform(spans, lambda one, number: F.struct(
+            F.coalesce(F.get(reached, number - 1), F.lit(0)).alias("gap"), one["start"].alias("start"), one["stop"].alias("stop"), one["kind"].alias("kind")))
+        real = F.transform(F.filter(before, lambda one: one["stop"] > one["gap"]), lambda one: F.struct(
+            one["gap"].alias("gap"), F.greatest(one["gap"], one["start"]).alias("start"), one["kind"].alias("kind")))
+        rest = F.struct(F.element_at(reached, -1).alias("gap"), size.alias("start"), F.lit(-1).alias("kind"))
+        return F.concat(real, F.array(rest))
+
+    def piece(block: Column, low: Column, cut: Column) -> Column:
+        high = low + block_characters
+        begin = F.greatest(cut["gap"], low)
+        kept = F.substring(block, begin - low + 1, F.least(cut["start"], high) - begin)
+        here = (cut["kind"] >= 0) & (cut["start"] >= low) & (cut["start"] < high)
+        return F.concat(kept, F.when(here, F.get(names, cut["kind"])).otherwise(""))
+
+    def joined(all_cuts: Column) -> Column:
+        lows = F.transform(F.sequence(F.lit(0), F.floor(size / block_characters).cast("int")), lambda number: number * block_characters)
+        blocks = F.transform(lows, lambda low: bind(F.substring(text, low + 1, F.lit(block_characters)), lambda block: F.array_join(F.transform(
+            F.filter(all_cuts, lambda cut: (cut["gap"] < low + block_characters) & (cut["start"] >= low)), lambda cut: piece(block, low, cut)), "")))
+        return F.array_join(blocks, "")
+
+    done = bind(running_greatest(F.transform(spans, lambda one: one["stop"])), lambda reached: bind(cuts(reached), joined))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def mask(documents: DataFrame) -> DataFrame:
     """Pipeline stage: spans are replaced in the text, ``n_chars`` (if there) is its new length; all rows and columns stay."""
-    weights = fit(with_candidates(documents.select("text")))
-    kept = pin(with_candidates(packed(documents, "text")), spans_kept=accepted(F.col("candidates"), weights))
+    own = kept_names(documents.columns)[documents.columns.index("text")]  # the text is carried once
+    rows = written(with_candidates(packed(documents, "text").drop(own)), "texts-with-candidates")
+    kept = pin(rows, spans_kept=accepted(F.col("candidates"), fit(rows)))
     done = pin(kept, text_masked=masked(F.col("text"), F.col("spans_kept")))
     changed = {"text": F.col("text_masked")}
     if "n_chars" in documents.columns:

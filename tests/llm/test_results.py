@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -101,6 +102,35 @@ def test_embedding_links_against_all_pairs(spark, tile_rows):
     assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.95 * near.sum()
 
 
+def test_spans_are_masked_and_kept_apart_like_in_a_loop(spark):
+    make = random.Random(8)
+    pool = ["10.0.0.1", "555-123-4567", "(212) 555-0199", "+49 30 1234567", "a.b@c.de", "me [at] home.org", "4111 1111 1111 1111", "token=ab12cd34ef", "Mr Smith", "é", "und", "10.0.0.1.555-123-4567", "password: a@b.com99"]
+    texts = ["".join(make.choice(pool) + make.choice((" ", "", ", ", "\n")) for _ in range(make.randint(0, 25))) for _ in range(150)]
+    rows = pii.with_candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    spans = F.filter("candidates", lambda one: F.lit(True))
+    found = rows.select("text", "candidates", *[pii.masked(F.col("text"), spans, size).alias(f"masked_{size}") for size in (1, 7, 64, 32_768)]).collect()
+    loose = 0
+    for row in found:
+        strict = [one for one in row.candidates if one.base]
+        loose += len(row.candidates) - len(strict)
+        assert not any(one.start < other.stop and other.start < one.stop for one in row.candidates if not one.base for other in strict)
+        out, last = [], 0
+        for one in row.candidates:
+            if one.stop > last:
+                out.append(row.text[last:max(last, one.start)] + f"[{pii.KINDS[one.kind].upper()}]")
+                last = one.stop
+        assert {row.masked_1, row.masked_7, row.masked_64, row.masked_32768} == {"".join(out) + row.text[last:]}
+    assert loose > 50
+
+
+def test_a_text_full_of_personal_data_takes_linear_time(spark):
+    text = "".join(f"10.0.{number % 250}.7 or 555-123-{1000 + number % 9000} é " for number in range(6000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    masked = pii.mask(frame).first().text
+    assert masked.count("[IP]") == 6000 and len(masked) < len(text) and time.time() - start < 30
+
+
 def test_token_ids_are_those_of_the_tokenizer():
     ids = packing.DocumentIds(public_tokenizers.path("byte_bpe_50k.json"))
     make = random.Random(3)

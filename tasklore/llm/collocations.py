@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasklore.llm.common import written
-from tasklore.operators.sizing import join_measured
+from tasklore.operators.sizing import join_measured, measured
 from tasklore.session import scratch_path
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
@@ -184,14 +184,19 @@ def parts(blocks: DataFrame, frequent: np.ndarray, longest: int) -> DataFrame:
     return blocks.select("tokens").mapInArrow(define, "hash long, words int, prefix long, suffix long")
 
 
-def _sums(tables: list[DataFrame], min_count: int, shards: int) -> DataFrame:
-    """``hash, f`` of what reaches the threshold in shard tables. It must hold a fair share of it in one shard, so few rows are shuffled."""
+def _sums(tables: list[DataFrame], min_count: int, shards: int, repeated: bool) -> DataFrame:
+    """``hash, f`` of what reaches the threshold in shard tables. It must hold a fair share of it in one shard, so few rows are shuffled.
+
+    ``repeated``: several tables may be of one shard, and a count in both is taken once.
+    """
     rows = tables[0]
     for other in tables[1:]:
         rows = rows.union(other)
-    strong = rows.filter(F.col("n") >= -(-min_count // shards)).select("hash").distinct()
-    once = join_measured(rows, strong, ["hash"], "strong").groupBy("hash", "shard").agg(F.max("n").alias("n"))
-    return once.groupBy("hash").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
+    strong, small = measured(rows.filter(F.col("n") >= -(-min_count // shards)).select("hash"), "strong")
+    rows = rows.join(F.broadcast(strong) if small else strong, "hash", "left_semi")
+    if repeated:
+        rows = rows.groupBy("hash", "shard").agg(F.max("n").alias("n"))
+    return rows.groupBy("hash").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
 
 
 def frequent_phrases(encoded: DataFrame, min_count: int, longest: int, shards: int, bits: int) -> DataFrame:
@@ -212,13 +217,13 @@ def frequent_phrases(encoded: DataFrame, min_count: int, longest: int, shards: i
             counted = counted.union(words) if step else words
         counted = counted.groupBy("hash").agg(F.sum("n").alias("n")).withColumn("shard", F.lit(shard))
         tables.append(written(counted, "shard-counts"))
-        now = _sums(tables[-shards:], min_count, shards).select("hash")
+        now = _sums(tables[-shards:], min_count, shards, False).select("hash")
         new = written(now if reached is None else now.join(reached, "hash", "left_anti"), "reached")
         reached = new if reached is None else reached.union(new)
         cycle = [*cycle, filter_of(new, bits)][-shards:]
         frequent = frequent | cycle[-1]
         step += 1
-    return written(_sums(tables, min_count, shards), "frequent")
+    return written(_sums(tables, min_count, shards, True), "frequent")
 
 
 def _levels(definitions: DataFrame, words: DataFrame, frequent: DataFrame, longest: int) -> list[DataFrame]:

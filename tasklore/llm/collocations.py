@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasklore.llm.common import written
-from tasklore.operators.sizing import join_measured, measured
+from tasklore.operators.sizing import MAX_BROADCAST_BYTES, join_measured
 from tasklore.session import scratch_path
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
-SHARDS = 3
-FILTER_BITS = 1 << 24  # 2 MB; more bits prune more on larger corpora, the result is the same
+SHARDS = 2
+FILTER_BITS = 1 << 22  # 512 KB; more bits prune more on larger corpora, the result is the same
 HELD_WORDS = 1 << 17
 HELD_ROWS = 1 << 20
 BREAK = 0  # between pieces in an encoded text
@@ -192,7 +192,8 @@ def _sums(tables: list[DataFrame], min_count: int, shards: int, repeated: bool)
     rows = tables[0]
     for other in tables[1:]:
         rows = rows.union(other)
-    strong, small = measured(rows.filter(F.col("n") >= -(-min_count // shards)).select("hash"), "strong")
+    strong = rows.filter(F.col("n") >= -(-min_count // shards)).select("hash")
+    small = 16 * strong.count() <= MAX_BROADCAST_BYTES
     rows = rows.join(F.broadcast(strong) if small else strong, "hash", "left_semi")
     if repeated:
         rows = rows.groupBy("hash", "shard").agg(F.max("n").alias("n"))
@@ -219,7 +220,7 @@ def frequent_phrases(encoded: DataFrame, min_count: int, longest: int, shards: i
         tables.append(written(counted, "shard-counts"))
         now = _sums(tables[-shards:], min_count, shards, False).select("hash")
         new = written(now if reached is None else now.join(reached, "hash", "left_anti"), "reached")
-        reached = new if reached is None else reached.union(new)
+        reached = new if reached is None else written(reached.union(new), "all-reached")
         cycle = [*cycle, filter_of(new, bits)][-shards:]
         frequent = frequent | cycle[-1]
         step += 1

@@ -13,6 +13,9 @@ from checks.registry import check
 from checks.views import AS_OF, AS_OF_SQL, Views
 from tasklore.operators import alerts, candidates, feedback, reports
 from tasklore.plans import monitoring
+from tasklore.session import scratch_path
+from tasklore.sources import readers, writers
+from tasklore.sources.keyed_store import KeyedStore
 
 DAY = date(2024, 1, 25)
 DAY_SQL = "DATE '2024-01-25'"
@@ -110,7 +113,9 @@ _FINAL = "coalesce(human_category, llm_category) AS category, coalesce(human_sev
 SELECT id, dag_id, task_id, error_message, raw_logs, {_FINAL}, llm_confidence AS confidence, status, human_feedback,
   {_ISO} AS created_at, NULL AS reviewed_at FROM error_candidates""")
 def k04(v: Views) -> DataFrame:
-    return candidates.export_json(v.error_candidates)
+    rows, path = candidates.export_json(v.error_candidates), scratch_path(v.spark, "export-json")
+    writers.write_json_arrays(rows, path, "id", rows_per_document=500)
+    return readers.json_arrays(v.spark, path, rows.schema)
 
 
 @check("k05_export_csv", f"""
@@ -118,14 +123,18 @@ SELECT id, dag_id, task_id, error_message, coalesce(category, '') AS category, c
   coalesce(CAST(llm_confidence AS VARCHAR), '') AS confidence, status, coalesce(human_feedback, '') AS human_feedback,
   created, '' AS reviewed_at FROM (SELECT id, dag_id, task_id, error_message, {_FINAL}, llm_confidence, status, human_feedback, {_ISO} AS created FROM error_candidates) e""")
 def k05(v: Views) -> DataFrame:
-    return candidates.export_csv(v.error_candidates).withColumnRenamed("created_at", "created")
+    rows, path = candidates.export_csv(v.error_candidates), scratch_path(v.spark, "export-csv")
+    writers.write_csv(rows, path)
+    return readers.csv_export(v.spark, path, rows.schema).withColumnRenamed("created_at", "created")
 
 
 @check("k06_export_jsonl", """
 SELECT id, error_message AS text, coalesce(human_category, llm_category) AS label, coalesce(human_severity, llm_severity) AS severity,
   dag_id, task_id, llm_confidence AS confidence, status FROM error_candidates""")
 def k06(v: Views) -> DataFrame:
-    return candidates.export_jsonl(v.error_candidates).select("id", "text", "label", "metadata.*")
+    rows, path = candidates.export_jsonl(v.error_candidates), scratch_path(v.spark, "export-jsonl")
+    writers.write_json(rows, path)
+    return v.spark.read.schema(rows.schema).json(path).select("id", "text", "label", "metadata.*")
 
 
 @check("k09_bulk_candidates", f"""
@@ -133,7 +142,11 @@ SELECT sha256(id || '|' || dag_id || '|' || task_id || '|' || run_id) AS id, dag
   '' AS raw_logs, category AS llm_category, severity AS llm_severity, confidence AS llm_confidence, 'pending' AS status,
   {AS_OF_SQL} AS created_at, processing_time FROM analysis_records""")
 def k09(v: Views) -> DataFrame:
-    return candidates.from_analyses(v.analysis_records, AS_OF).drop("llm_reasoning")
+    rows = candidates.from_analyses(v.analysis_records, AS_OF)
+    queue = KeyedStore(v.spark, scratch_path(v.spark, "candidates"), rows.schema, ["id"])
+    queue.apply(rows, 0)
+    queue.apply(rows, 0)  # delivered again: nothing is added
+    return queue.read().drop("llm_reasoning")
 
 
 @check("n06_review_apply", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tasklore import schemas
 from tasklore.operators.candidates import from_log_lines
@@ -60,6 +61,18 @@ def feedback_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.FEEDBACK_RECORD).json(path)
 
 
+def json_arrays(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of JSON array documents: one file, or a folder of them."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    return rows.select(*schema.names)
+
+
+def csv_export(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Text columns of a CSV export; what is missing is an empty text, as it was written."""
+    rows = spark.read.csv(path, schema=schema, header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return rows.select(*[F.coalesce(name, F.lit("")).alias(name) for name in schema.names])
+
+
 def reviewed_rows(spark: SparkSession, path: str) -> DataFrame:
     """JSON array documents of reviewed rows: one file, or a folder of them."""
     rows = spark.read.schema(schemas.REVIEWED_ROW).option("multiLine", True).option("recursiveFileLookup", True).json(path)

@@ -52,7 +52,8 @@ def write_json_arrays(rows: DataFrame, path: str, key: str, rows_per_document: i
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.csv(path, header=True, nullValue="", emptyValue="", escape='"', quoteAll=False)
+    rows.write.csv(path, header=True, nullValue="", emptyValue="", escape='"', quoteAll=False,
+                   ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def save_examples(examples: DataFrame, path: str) -> None:

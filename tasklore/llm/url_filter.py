@@ -77,12 +77,13 @@ class DigestShard:
         return found, blocked
 
 
-def ship(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> tuple[list[dict[str, str]], list[int]]:
+def ship(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> tuple[list[dict[str, str]], list[int], list[int]]:
     """Build shards of at most ``SHARD_RULES`` rules one after another and hand their files to Spark for all executors.
 
-    ``rules`` may be any iterable, such as ``DataFrame.toLocalIterator()``: the driver holds one shard of it. Also returns the lengths of rule paths.
+    ``rules`` may be any iterable, such as ``DataFrame.toLocalIterator()``: the driver holds one shard of it. Also returns the lengths of rule paths
+    and the numbers of labels of rule hosts.
     """
-    shards, lengths, pending = [], set(), []
+    shards, lengths, labels, pending = [], set(), set(), []
     folder = tempfile.mkdtemp(prefix="rules-")  # read by the driver's file server alone, as long as the application lives
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
 
@@ -96,31 +97,35 @@ def ship(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> tuple[li
     for verdict, host, path in rules:
         pending.append((verdict, host.translate(LOWER), path))
         lengths.add(len(path))
+        labels.add(host.count(".") + 1)
         if len(pending) >= SHARD_RULES:
             close()
     if pending:
         close()
-    return shards, sorted(lengths)
+    return shards, sorted(lengths), sorted(labels)
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[tuple[int, int, str]]:
-    """(length, host length, key) of every host suffix at a label border with every path prefix as long as some rule's."""
+def candidates(host: str, path: str, lengths: list[int], labels: list[int]) -> list[tuple[int, int, str]]:
+    """(length, host length, key) of the host suffixes with as many labels as some rule's host, with every path prefix as long as some rule's."""
+    parts = host.rsplit(".", labels[-1]) if host and labels else []
     found = []
-    while host:
-        found += [(len(host) + length, len(host), host + path[:length]) for length in lengths if length <= len(path)]
-        host = host.partition(".")[2]
+    for number in labels:
+        if number < len(parts) or number == len(parts) == host.count(".") + 1:
+            suffix = ".".join(parts[-number:])
+            if suffix:
+                found += [(len(suffix) + length, len(suffix), suffix + path[:length]) for length in lengths if length <= len(path)]
     return found
 
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default: str = DEFAULT) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every page; one pass, no shuffle."""
-    shards, lengths = ship(pages.sparkSession, rules)
+    shards, lengths, labels = ship(pages.sparkSession, rules)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = [DigestShard({part: SparkFiles.get(name) for part, name in names.items()}) for names in shards]
         for batch in batches:
             addresses = [host_and_path(url) for url in strings(batch, "url")]
-            probes = [(row, *probe) for row, (host, path) in enumerate(addresses) for probe in candidates(host, path, lengths)]
+            probes = [(row, *probe) for row, (host, path) in enumerate(addresses) for probe in candidates(host, path, lengths, labels)]
             keys = [probe[3] for probe in probes]
             best: list[tuple | None] = [None] * len(addresses)
             for shard in opened:

@@ -95,3 +95,19 @@ def test_urls(spark):
         ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/fr/", "block"), ("net/es/", "block"), (None, "allow"), (None, "allow"),
         ("www.example.com/en/", "allow"), ("example.com/en/", "block")]
     assert url_filter.judge_pages(frame.limit(0)).collect() == []
+
+
+def test_host_suffixes_are_those_some_rule_could_have():
+    def every(host, path, lengths, labels):
+        found, suffix = set(), host
+        while suffix:
+            if suffix.count(".") + 1 in labels:
+                found |= {(len(suffix) + length, len(suffix), suffix + path[:length]) for length in lengths if length <= len(path)}
+            suffix = suffix.partition(".")[2]
+        return found
+
+    for host in ("", "com", "a.com", "a..com", ".com", "com.", "x.y.z.a.com", "...", "a.b.c.d.e.f.g"):
+        for labels in ([1], [2], [1, 3], [2, 5, 9], []):
+            assert set(url_filter.candidates(host, "/en/x", [1, 4, 9], labels)) == every(host, "/en/x", [1, 4, 9], labels)
+    long = "a." * 500_000 + "example.com"
+    assert url_filter.candidates(long, "/", [1], [1, 2]) == [(4, 3, "com/"), (12, 11, "example.com/")]

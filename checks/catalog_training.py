@@ -16,7 +16,6 @@ from tasklore.plans import monitoring
 from tasklore.schemas import TASK_KEY, TRY_KEY
 from tasklore.session import scratch_path
 from tasklore.sources import readers, writers
-from tasklore.sources.readers import spread
 from tasklore.streaming import failures as stream
 from tasklore.streaming import tree_state
 
@@ -247,33 +246,26 @@ def k08(v: Views) -> DataFrame:
     return readers.training_examples(v.spark, path).select("instruction", "input", "output", F.col("metadata")["id"].alias("source_id"))
 
 
-def log_folder(v: Views) -> str:
-    """Logs of all runs as text files, one folder per run, as a scheduler keeps them."""
+def packed_runs(v: Views) -> tuple[str, DataFrame]:
+    """Logs of all runs, many a file, and where each one is."""
     path = scratch_path(v.spark, "logs")
-    texts = v.task_runs.select("run_id", F.col("log_content").alias("value"))
-    spread(texts, "run_id").write.partitionBy("run_id").text(path)
-    return path
+    return path, writers.pack_logs(v.task_runs.select("run_id", "log_content"), path, "run_id", pack_bytes=1_000_000)
 
 
-def run_of(path: str):
-    return F.regexp_extract(path, "run_id=(run_[0-9]+)", 1)
-
-
-@check("s05_raw_logs", "SELECT run_id, log_content || chr(10) AS log_content FROM task_runs")
+@check("s05_raw_logs", "SELECT run_id, log_content FROM task_runs")
 def s05(v: Views) -> DataFrame:
-    return readers.raw_logs(v.spark, log_folder(v)).select(run_of("filepath").alias("run_id"), "log_content")
+    path, manifest = packed_runs(v)
+    return readers.packed_logs(v.spark, path, manifest, "run_id")
 
 
 @check("s06_log_manifest", """
-SELECT run_id, dag_id, task_id, date_trunc('second', start_date) AS start_date, date_trunc('second', end_date) AS end_date, log_content || chr(10) AS log_content
-FROM task_runs""")
+SELECT run_id, dag_id, task_id, date_trunc('second', start_date) AS start_date, date_trunc('second', end_date) AS end_date, log_content FROM task_runs""")
 def s06(v: Views) -> DataFrame:
-    folder, manifest = log_folder(v), scratch_path(v.spark, "manifest")
-    files = readers.raw_logs(v.spark, folder).select("filepath", run_of("filepath").alias("run_id"))
+    (path, packs), manifest = packed_runs(v), scratch_path(v.spark, "manifest")
     times = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start_date", "end_date")]
-    listed = files.join(v.task_runs.select("run_id", "dag_id", "task_id", *times), "run_id")
-    listed.select("filepath", "start_date", "end_date", "dag_id", "task_id", "run_id").write.csv(manifest, header=True)
-    return readers.log_manifest(v.spark, manifest, folder).drop("filepath")
+    packs.join(v.task_runs.select("run_id", "dag_id", "task_id", *times), "run_id").select(
+        "pack", "log_offset", "log_length", "start_date", "end_date", "dag_id", "task_id", "run_id").write.csv(manifest, header=True)
+    return readers.packed_manifest(v.spark, manifest, path)
 
 
 @check("s07_jsonl_candidates", """

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tasklore import schemas
 from tasklore.operators.candidates import from_log_lines
+from tasklore.operators.sizing import join_measured
 
 
 def jdbc_tasks(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
@@ -34,6 +35,28 @@ def raw_logs(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("filepath"), F.col("value").alias("log_content"))
 
 
+def packed_logs(spark: SparkSession, path: str, manifest: DataFrame, key: str) -> DataFrame:
+    """Logs taken out of their packs: the manifest's ``key`` and ``log_content``. Only packs that it lists are opened.
+
+    A pack meets the list of its logs once and is cut in its own row, so its content is neither repeated nor shuffled while the lists are small.
+    """
+    wanted = manifest.groupBy("pack").agg(F.collect_list(F.struct(key, "log_offset", "log_length")).alias("entries"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("pack").cast("long").alias("pack"), "content")
+
+    def cut(entry: Column) -> Column:
+        raw = F.substring("content", (entry["log_offset"] + 1).cast("int"), entry["log_length"].cast("int"))
+        return F.struct(entry[key].alias(key), F.decode(raw, "UTF-8").alias("log_content"))
+
+    return join_measured(files, wanted, ["pack"], "packs-wanted").select(F.inline(F.transform("entries", cut)))
+
+
+def packed_manifest(spark: SparkSession, manifest: str, logs: str) -> DataFrame:
+    """Manifest rows (CSV, with the pack, offset and length of each log) and the text of their log."""
+    schema = "pack long, log_offset long, log_length long, start_date timestamp_ntz, end_date timestamp_ntz, dag_id string, task_id string, run_id string"
+    listed = spark.read.csv(manifest, schema=schema, header=True)
+    return listed.drop("pack", "log_offset", "log_length").join(packed_logs(spark, logs, listed, "run_id"), "run_id")
+
+
 def log_manifest(spark: SparkSession, manifest: str, logs: str) -> DataFrame:
     """Manifest rows with the text of their log file. Paths are compared without their scheme."""
     def bare(name: str):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,23 @@ def write_json_arrays(rows: DataFrame, path: str, key: str, rows_per_document: i
     arrays.select("document", F.concat(F.lit("[\n"), "body", F.lit("\n]")).alias("value")).write.partitionBy("document").text(path)
 
 
+def pack_logs(logs: DataFrame, path: str, key: str, pack_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+    """Many logs a file: texts put together into packs of about ``pack_bytes``, one text file each below ``path/pack=``.
+
+    Returns the manifest ``key, pack, log_offset, log_length`` (bytes), which is all a reader needs to take one log out of its pack.
+    A pack is put together in one place, so their number grows with the bytes; one longer log makes a longer pack.
+    """
+    texts = logs.select(key, F.coalesce("log_content", F.lit("")).alias("log_content"))
+    total = texts.agg(F.sum(F.octet_length("log_content"))).first()[0] or 0
+    packs = max(1, math.ceil(total / pack_bytes))
+    numbered = texts.withColumn("pack", F.pmod(F.xxhash64(key), F.lit(packs)))
+    bodies = numbered.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct(key, "log_content"))).alias("logs"))
+    bodies.select("pack", F.array_join(F.transform("logs", lambda one: one["log_content"]), "\n").alias("value")).write.partitionBy("pack").text(path)
+    before = Window.partitionBy("pack").orderBy(key, "log_length").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = numbered.select(key, "pack", F.octet_length("log_content").cast("long").alias("log_length"))
+    return lengths.withColumn("log_offset", F.coalesce(F.sum(F.col("log_length") + 1).over(before), F.lit(0))).select(key, "pack", "log_offset", "log_length")
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.csv(path, header=True, nullValue="", emptyValue="", escape='"', quoteAll=False,
                    ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

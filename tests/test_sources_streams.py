@@ -27,6 +27,16 @@ def test_raw_logs_and_manifest(spark, tmp_path):
     assert rows == {"r1": "one\n\ntwo", "r2": None}
 
 
+def test_packed_logs_come_back_whole(spark, tmp_path):
+    texts = {"r1": "one\n\ntwo", "r2": "", "r3": "é日本\n", "r4": None, "r5": "x" * 5000, "r6": "\r\nend"}
+    manifest = writers.pack_logs(spark.createDataFrame(list(texts.items()), "run_id string, log_content string"), str(tmp_path / "p"), "run_id", 2000)
+    found = {r["run_id"]: r["log_content"] for r in readers.packed_logs(spark, str(tmp_path / "p"), manifest, "run_id").collect()}
+    assert found == {key: text or "" for key, text in texts.items()}
+    some = manifest.filter("run_id in ('r3', 'r5')")
+    assert {r["run_id"] for r in readers.packed_logs(spark, str(tmp_path / "p"), some, "run_id").collect()} == {"r3", "r5"}
+    assert len(list((tmp_path / "p").glob("pack=*"))) > 1
+
+
 def test_candidate_lines_skip_and_limit(spark, tmp_path):
     lines = [json.dumps({"candidates": "DAG_ID='d1' TASK_ID: t1, DAG_RUN_ID=\"x\"", "error": "e1"}), "{broken", json.dumps({"candidates": "", "error": "e"}),
              json.dumps({"candidates": "c", "error": "e2"}), json.dumps({"candidates": "c", "error": "e3"})]

@@ -332,6 +332,31 @@ def a15_tree(v: Views) -> DataFrame:
     return result.select(*TRY_KEY, "n_lines", "n_anomalous", "n_candidates", "novelty_score", "analysis.error_message", "analysis.category")
 
 
+_STEPS = f"""list_filter(list_transform(list_filter(list_transform(string_split({sql.strip('steps_answer')}, chr(10)),
+    lambda s: {sql.strip('s')}), lambda s: regexp_matches(s, '^[0-9*-]')),
+    lambda s: regexp_replace(regexp_replace(s, '^[0-9]+\\.?{sql.WS}*', ''), '^[-*]{sql.WS}*', '')), lambda s: s <> '')"""
+
+
+@check("a15_result_rows", f"""
+SELECT sha256(dag_id || chr(31) || task_id || chr(31) || run_id || chr(31) || try_number) AS id, {TRY}, failure IS NULL AS success, failure AS error_message,
+  CASE WHEN failure IS NULL THEN found END AS found, CASE WHEN failure IS NULL THEN n_candidates END AS n_related,
+  CASE WHEN failure IS NULL THEN CASE WHEN n_candidates = 0 THEN 'Review logs manually'
+    WHEN steps IS NULL THEN 'Manual investigation required|Check system logs|Contact support'
+    WHEN len(steps) = 0 THEN 'Manual investigation required' ELSE array_to_string(steps, '|') END END AS actions
+FROM (SELECT s.dag_id, s.task_id, s.run_id, s.try_number, n_candidates, coalesce(error_line, 'No error patterns identified') AS found,
+    CASE WHEN m.id % 3 <> 0 THEN {_STEPS} END AS steps, CASE WHEN m.id % 13 = 0 THEN 'provider timed out' END AS failure
+  FROM fail_stats s JOIN model_answers m ON s.run_id = 'run_' || m.id
+  LEFT JOIN fail_errors e ON e.dag_id = s.dag_id AND e.task_id = s.task_id AND e.run_id = s.run_id AND e.try_number = s.try_number) q""")
+def a15_rows(v: Views) -> DataFrame:
+    answered = v.model_answers.select(
+        F.concat(F.lit("run_"), F.col("id").cast("string")).alias("run_id"), F.when(F.col("id") % 3 != 0, F.col("steps_answer")).alias("steps"),
+        F.when(F.col("id") % 13 == 0, "provider timed out").alias("failure"))
+    rows = plan.result_rows(plan.with_steps(analysed(v).join(answered, "run_id"), "steps"), AS_OF, "failure")
+    return rows.select("id", *TRY_KEY, "success", "error_message", F.col("analysis.error_message").alias("found"),
+                       F.when(F.col("success"), F.size("analysis.related_logs")).alias("n_related"),
+                       F.array_join("analysis.suggested_actions", "|").alias("actions"))
+
+
 @check("a16_error_candidates", f"""
 SELECT {TRY}, line_number, message FROM fail_ruled WHERE anomalous AND matched_rule IS NULL
 UNION ALL SELECT {TRY}, NULL, CASE WHEN n_lines = 0 THEN 'No failed logs found' ELSE dag_id || '.' || task_id || ': No error patterns identified' END

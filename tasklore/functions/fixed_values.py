@@ -212,6 +212,7 @@ FALLBACK_PREFIX = "Analysis failed: "
 FALLBACK_ACTIONS = ["Manual analysis required", "Check logs manually"]
 FALLBACK_REASONING = "LLM analysis failed"
 NO_STEPS = "Manual investigation required"
+NO_ANSWER_STEPS = ["Manual investigation required", "Check system logs", "Contact support"]
 
 # ---------------------------------------------------------------- training rows (fixed values)
 INSTRUCTION = (

@@ -82,15 +82,28 @@ def analyze_tries(tasks: DataFrame, tries: DataFrame, logs: DataFrame, as_of: da
     return analyse(compare(candidates_per_try(texts, baseline, rule_set, max_lines, exact)))
 
 
-def result_rows(analysed: DataFrame, as_of: datetime) -> DataFrame:
-    """Flat ``analysis_results`` with the two nested parts kept as structs."""
+def with_steps(analysed: DataFrame, steps: str | None = None) -> DataFrame:
+    """Suggested actions of tries with candidates: the steps of an answer column, or the fixed ones where there is no answer."""
+    nothing = F.array(*[F.lit(step) for step in fv.NO_ANSWER_STEPS])
+    found = nothing if steps is None else F.when(F.col(steps).isNull(), nothing).otherwise(answers.parse_steps(F.col(steps)))
+    chosen = F.when(F.col("n_candidates") > 0, found).otherwise(F.col("analysis.suggested_actions"))
+    return analysed.withColumn("analysis", F.col("analysis").withField("suggested_actions", chosen))
+
+
+def result_rows(analysed: DataFrame, as_of: datetime, failure: str | None = None) -> DataFrame:
+    """Flat ``analysis_results`` with the two nested parts kept as structs; the analysis carries its candidate lines as ``related_logs``.
+
+    ``failure`` names a column that tells why a try could not be analysed; such a row has neither part, only the reason.
+    """
+    reason = F.lit(None).cast("string") if failure is None else F.col(failure)
+    analysis = F.col("analysis").withField("related_logs", F.col("candidates"))
+    comparison = F.struct(
+        "is_known_pattern", F.array().cast("array<string>").alias("similar_clusters"), "novelty_score",
+        F.coalesce(baselines.age_days(as_of, F.col("baseline_updated")), F.lit(0)).alias("baseline_age_days"))
     return analysed.select(
-        F.sha2(F.concat_ws("\x1f", *TRY_KEY), 256).alias("id"), *TRY_KEY, "analysis",
-        F.struct("is_known_pattern", F.array().cast("array<string>").alias("similar_clusters"), "novelty_score",
-                 F.coalesce(baselines.age_days(as_of, F.col("baseline_updated")), F.lit(0)).alias("baseline_age_days"),
-                 ).alias("baseline_comparison"),
-        F.lit(as_of).cast("timestamp_ntz").alias("timestamp"), F.lit(True).alias("success"),
-    )
+        F.sha2(F.concat_ws("\x1f", *TRY_KEY), 256).alias("id"), *TRY_KEY,
+        F.when(reason.isNull(), analysis).alias("analysis"), F.when(reason.isNull(), comparison).alias("baseline_comparison"),
+        F.lit(as_of).cast("timestamp_ntz").alias("timestamp"), reason.isNull().alias("success"), reason.alias("error_message"))
 
 
 def candidate_lines(analysed: DataFrame) -> DataFrame:

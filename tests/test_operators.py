@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tasklore import schemas
+from tasklore.functions import fixed_values as fv
 from tasklore.functions import rules, templates
 from tasklore.operators import alerts, baseline, candidates, datasets, evaluation, extension, logs, novelty, ranking, reports, tasks
 from tasklore.operators.sizing import join_measured
@@ -185,6 +186,14 @@ def test_result_rows_keep_both_parts(runs):
     assert rows["r006"]["baseline_comparison"]["baseline_age_days"] == 3
     assert rows["r008"]["baseline_comparison"]["baseline_age_days"] == 0
     assert rows["r006"]["analysis"]["error_message"] == "[a] boom in x" and len({r["id"] for r in rows.values()}) == 4
+    assert [line["message"] for line in rows["r006"]["analysis"]["related_logs"]][:1] == ["[a] boom in x"]
+    assert all(r["success"] and r["error_message"] is None for r in rows.values())
+    asked = plan.with_steps(analysed.withColumns({"steps": F.when(F.col("run_id") == "r008", F.lit("1. look\n- restart")),
+                                                  "why": F.when(F.col("run_id") == "r007", F.lit("no answer"))}), "steps")
+    rows = {r["run_id"]: r for r in plan.result_rows(asked, AS_OF, "why").collect()}
+    assert (rows["r007"]["success"], rows["r007"]["analysis"], rows["r007"]["baseline_comparison"], rows["r007"]["error_message"]) == (False, None, None, "no answer")
+    assert rows["r008"]["analysis"]["suggested_actions"] == ["look", "restart"]
+    assert rows["r006"]["analysis"]["suggested_actions"] == fv.NO_ANSWER_STEPS and rows["r009"]["analysis"]["suggested_actions"] == [fv.REVIEW_MANUALLY]
 
 
 def random_runs(spark, n=120):

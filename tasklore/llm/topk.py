@@ -7,9 +7,9 @@ go to the smaller id, so equal bounds are still read.
 
 Queries and candidates meet in blocks of bounded size; every (query block, candidate block) gives its k best, and those are merged.
 
-Defined results: vectors that are null or hold null or non-finite components take no part; vectors of different length are never
+Defined results: vectors that are null, empty or hold null or non-finite components take no part; vectors of different length are never
 compared; candidates with the query's own id are left out, so are repeated rows of it; other repeated rows each count; a
-query id given twice is asked once. Scores are exact while they stay below 2 ** 53.
+query id given twice is asked once for each length, with the least of its vectors. Scores are exact while they stay below 2 ** 53.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ def top_k(embeddings: DataFrame, query_divisor: int = 50, k: int = 5, scale: int
     """``query_id, rank, vec_id, score``: the k best candidates of every row whose id is divisible by ``query_divisor``."""
     whole = written(whole_vectors(embeddings, scale), "whole-vectors")
     grid = cells(whole)
-    asked = whole.filter((F.col("vec_id") % query_divisor == 0)).groupBy("vec_id", "size").agg(F.first("whole").alias("whole"))
+    asked = whole.filter((F.col("vec_id") % query_divisor == 0)).groupBy("vec_id", "size").agg(F.min("whole").alias("whole"))
     asked_rows, rows = whole.filter(F.col("vec_id") % query_divisor == 0).count(), whole.count()
     query_blocks, blocks = max(1, -(-asked_rows // QUERY_BLOCK)), max(1, -(-rows // CANDIDATE_BLOCK))
     # Queries are the smaller side: each is sent to every candidate block, each candidate to every query block it must meet.

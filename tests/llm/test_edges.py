@@ -111,3 +111,11 @@ def test_host_suffixes_are_those_some_rule_could_have():
             assert set(url_filter.candidates(host, "/en/x", [1, 4, 9], labels)) == every(host, "/en/x", [1, 4, 9], labels)
     long = "a." * 500_000 + "example.com"
     assert url_filter.candidates(long, "/", [1], [1, 2]) == [(4, 3, "com/"), (12, 11, "example.com/")]
+
+
+def test_a_query_id_with_several_vectors_is_asked_with_the_least(spark):
+    rows = [(0, [0.5, 0.5]), (0, [-0.5, 0.5]), (0, []), (0, None), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [])]
+    for parts in (1, 4):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(parts)
+        found = [(row.query_id, row["rank"], row.vec_id, row.score) for row in topk.top_k(frame).orderBy("rank").collect()]
+        assert found == [(0, 1, 2, 32768), (0, 2, 1, -32768)]

@@ -219,6 +219,19 @@ def j07(v: Views) -> DataFrame:
     return v.task_fail.select("run_id", F.array_join(alerts.recipients(alerts.task_key(), _PATTERNS, _DEFAULT), ",").alias("recipients"))
 
 
+@check("j07_pattern_table", """
+SELECT run_id, CASE WHEN dag_id = 'dag_1' THEN 'lead' WHEN event_id % 2 = 0 THEN 'user_' || user_id ELSE 'desk' END AS recipients FROM task_runs WHERE state = 'failed'""")
+def j07_table(v: Views) -> DataFrame:
+    """One pattern for every second run, and one that comes before them all."""
+    runs = v.task_runs
+    own = runs.filter("event_id % 2 = 0").select(
+        F.col("event_id").alias("position"), F.concat("dag_id", F.lit(r"\.task_[0-9]\."), "run_id", F.lit("$")).alias("pattern"),
+        F.array(F.concat(F.lit("user_"), F.col("user_id").cast("string"))).alias("recipients"))
+    first = v.spark.sql(r"SELECT -1L AS position, 'dag_1[.].+' AS pattern, array('lead') AS recipients")
+    failed = runs.filter("state = 'failed'").select("run_id", F.concat_ws(".", "dag_id", "task_id", "run_id").alias("task_key"))
+    return alerts.table_recipients(failed, own.unionByName(first), ["desk"]).select("run_id", F.array_join("recipients", ",").alias("recipients"))
+
+
 @check("j08_error_listing", """
 SELECT e.id, e.dt, e.dag_id, e.task_id, coalesce(a.category, 'Unknown') AS category, a.category IS NOT NULL AS has_analysis,
   EXISTS (SELECT 1 FROM user_feedback f WHERE f.error_log_id = e.id) AS has_feedback

@@ -238,6 +238,16 @@ class ScoreSettings:
 SHIPPED_SCORE = ScoreSettings(tuple(fv.SHIPPED_INDICATORS), tuple(fv.SHIPPED_SCORE_LEVELS), fv.SHIPPED_SCORE_THRESHOLD)
 
 
+def load_score(config: Any, defaults: ScoreSettings = ScoreSettings()) -> ScoreSettings:
+    """Score settings from the ``classifier`` part of the same mapping: keys that are there replace the defaults, a part that is no mapping is skipped."""
+    part = config.get("classifier") if isinstance(config, dict) else None
+    if not isinstance(part, dict):
+        return defaults
+    return ScoreSettings(
+        tuple(map(str, part.get("error_indicators", defaults.indicators))), tuple(map(str, part.get("error_levels", defaults.levels))),
+        float(part.get("min_confidence_score", defaults.threshold)))
+
+
 def error_score(message: Column, level: Column, settings: ScoreSettings = ScoreSettings()) -> Column:
     """Level, indicator words (capped) and trace marks add up to a score."""
     lowered = F.lower(message)

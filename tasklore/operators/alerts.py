@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tasklore.functions import fixed_values as fv
 from tasklore.functions import text
 from tasklore.functions.rules import java_pattern
+from tasklore.operators import pattern_index
 
 # The recipient table is configuration; above this size the expression would no longer be small.
 MAX_PATTERNS = 2000
@@ -27,7 +28,7 @@ def recipients(key: Column, patterns: Mapping[str, Sequence[str]], default: Sequ
     The patterns are driver-side configuration, compiled to one expression: no join and no row explosion.
     """
     if len(patterns) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} recipient patterns; keep them in a table keyed by task")
+        raise ValueError(f"more than {MAX_PATTERNS} recipient patterns; keep them in a table (table_recipients)")
 
     def names(values: Sequence[str]) -> Column:
         return F.array(*[F.lit(v) for v in values]).cast("array<string>")
@@ -50,6 +51,13 @@ def with_recipients(results: DataFrame, patterns: Mapping[str, Sequence[str]], d
     return results.withColumn("recipient", F.explode(recipients(task_key(), patterns, default)))
 
 
+def table_recipients(results: DataFrame, patterns: DataFrame, default: Sequence[str], key: str = "task_key") -> DataFrame:
+    """Add ``recipients`` by a pattern table (position, pattern, recipients) of any size: the first match of the key's start, else the default."""
+    found = pattern_index.first_matches(results, key, patterns, "recipients")
+    usual = F.array(*[F.lit(name) for name in default]).cast("array<string>")
+    return results.join(found, key, "left").withColumn("recipients", F.coalesce("recipients", usual))
+
+
 def sms_text(error: Column, severity: Column, title: str = "Alert", key: Column | None = None) -> Column:
     """Short alert text, cut to the length of one message."""
     body = F.concat(F.lit(f"{title}: "), task_key() if key is None else key, F.lit(" failed. Error: "),

@@ -172,6 +172,13 @@ def test_rule_loading_replaces_defaults_and_skips_bad_entries():
     assert len(rules.default_rules().rules) == 9 and len(rules.shipped_rules().rules) == 33
 
 
+def test_score_loading():
+    assert rules.load_score(None) == rules.load_score({"classifier": ["no"]}) == rules.load_score({"classifier": {}}) == rules.ScoreSettings()
+    loaded = rules.load_score({"classifier": {"error_indicators": ["boom"], "min_confidence_score": 0.2}})
+    assert (loaded.indicators, loaded.levels, loaded.threshold) == (("boom",), rules.ScoreSettings().levels, 0.2)
+    assert rules.load_score({"filter_rules": []}, rules.SHIPPED_SCORE) == rules.SHIPPED_SCORE
+
+
 def test_two_entry_smoke(spark):
     shipped = rules.shipped_rules()
     assert one(spark, "Task exited with return code 0", lambda c: rules.any_rule(shipped, rules.line_view(c))) is True

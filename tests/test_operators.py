@@ -299,6 +299,27 @@ def test_recipients_first_match_wins_from_the_start(spark):
     assert [r[0] for r in found] == [["1"], ["9"], ["2", "3"]]
 
 
+def test_pattern_table_equals_trying_each_pattern(spark):
+    import re as regex
+
+    make = random.Random(4)
+    patterns = ["dag_1", r"dag_\d+\.load", "(?i)DAG_2.*x", ".*", "(a|b)c+", "", "[", r"etl\.(daily)+_run$", "ab?c", r"\w+", "x{2,}y", "é.l", r"dag_3\.(load|save)", "zz(?:top)?"]
+    keys = [make.choice(["dag_1", "dag_2", "dag_33", "etl", "ab", "xxy", "zz", "É", "é"]) + "." + make.choice(["load", "save", "daily_run", "dailydaily_run", "x", "cc", ""]) for _ in range(120)] + ["", "acb", "bcc", "zztop", "xxxyz"]
+    for _ in range(4):
+        chosen = make.sample(patterns, 8)
+        table = spark.createDataFrame([(n, p, [f"{n}"]) for n, p in enumerate(chosen)], "position long, pattern string, recipients array<string>")
+        found = alerts.table_recipients(spark.createDataFrame([(k,) for k in keys], "task_key string"), table, ["none"]).collect()
+
+        def first(key):
+            for number, pattern in enumerate(chosen):
+                if pattern != "[" and regex.match(pattern, key):
+                    return [f"{number}"]
+            return ["none"]
+
+        assert len(found) == len(keys)
+        assert [] == [(row.task_key, row.recipients, first(row.task_key)) for row in found if row.recipients != first(row.task_key)], chosen
+
+
 def test_reviews_latest_decision(spark):
     queue = spark.createDataFrame([("c1", "pending", "x"), ("c2", "pending", "y")], "id string, status string, human_category string")
     queue = queue.withColumns({"human_severity": F.lit(None).cast("string"), "human_feedback": F.lit(None).cast("string")})

@@ -33,7 +33,7 @@ def texts(spark):
 @pytest.mark.parametrize("name", ORACLES)
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for source in ("embeddings", "pages"):
+    for source in ("embeddings", "pages", "documents", "benchmark"):
         con.execute(f"CREATE VIEW {source} AS SELECT * FROM read_parquet('{FOLDER}/{source}.parquet')")
     frame = QUERIES[name](spark, FOLDER)
     wanted = con.execute(f"SELECT {', '.join(frame.columns)} FROM ({ORACLES[name]})").fetchall()

@@ -27,7 +27,7 @@ from tasklore.llm.common import strings, written
 
 MAX_TOKENS = 2048
 END_ID = 0
-WORD_ENTRIES, CHUNK_ENTRIES = 400_000, 200_000
+WORD_ENTRIES, CHUNK_ENTRIES = 300_000, 100_000
 MARKS = frozenset(".,;:!?")
 SHARD_ROWS = 50_000
 RUNS_BROADCAST = 200_000

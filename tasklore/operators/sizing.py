@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 from tasklore.session import scratch_path
 
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
-def _width(name: str, kind: str) -> Column:
-    if kind == "string":
-        return F.coalesce(F.octet_length(name), F.lit(0)) + 16
-    if kind == "array<string>":
-        return F.coalesce(F.octet_length(F.array_join(name, "")) + 16 * F.size(name), F.lit(0)) + 16
-    return F.lit(16)
+def _width(value: Column, kind: DataType) -> Column:
+    """About the bytes of a value in memory, with what nested values hold."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint") + 16
+    if isinstance(kind, StructType):
+        return sum((_width(value[part.name], part.dataType) for part in kind.fields), F.lit(16).cast("bigint"))
+    if isinstance(kind, ArrayType):
+        held = F.aggregate(value, F.lit(0).cast("bigint"), lambda total, item: total + _width(item, kind.elementType))
+        return F.coalesce(held, F.lit(0)) + 16
+    if isinstance(kind, MapType):
+        return _width(F.map_keys(value), ArrayType(kind.keyType)) + _width(F.map_values(value), ArrayType(kind.valueType))
+    return F.lit(16).cast("bigint")
 
 
 def measured(rows: DataFrame, name: str, max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
@@ -28,8 +35,8 @@ def measured(rows: DataFrame, name: str, max_bytes: int = MAX_BROADCAST_BYTES) -
     path = scratch_path(rows.sparkSession, name)
     rows.write.parquet(path)
     kept = rows.sparkSession.read.schema(rows.schema).parquet(path)
-    width = sum((_width(column, kind) for column, kind in rows.dtypes), F.lit(0))
-    size = kept.agg(F.sum(width.cast("bigint"))).first()[0] or 0
+    width = sum((_width(F.col(part.name), part.dataType) for part in rows.schema.fields), F.lit(0))
+    size = kept.agg(F.sum(width)).first()[0] or 0
     return kept, size <= max_bytes
 
 

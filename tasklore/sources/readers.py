@@ -10,6 +10,8 @@ from tasklore import schemas
 from tasklore.operators.candidates import from_log_lines
 from tasklore.operators.sizing import join_measured
 
+MAX_LIST_BYTES = 64 * 1024 * 1024
+
 
 def jdbc_tasks(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     """Task rows from a metadata store; filters and columns are pushed to the store.
@@ -39,6 +41,7 @@ def packed_logs(spark: SparkSession, path: str, manifest: DataFrame, key: str) -
     """Logs taken out of their packs: the manifest's ``key`` and ``log_content``. Only packs that it lists are opened.
 
     A pack meets the list of its logs once and is cut in its own row, so its content is neither repeated nor shuffled while the lists are small.
+    Beyond ``MAX_LIST_BYTES`` the packs are shuffled to their lists: a broadcast of one entry a log would pass through the driver.
     """
     wanted = manifest.groupBy("pack").agg(F.collect_list(F.struct(key, "log_offset", "log_length")).alias("entries"))
     files = spark.read.format("binaryFile").load(path).select(F.col("pack").cast("long").alias("pack"), "content")
@@ -47,7 +50,7 @@ def packed_logs(spark: SparkSession, path: str, manifest: DataFrame, key: str) -
         raw = F.substring("content", (entry["log_offset"] + 1).cast("int"), entry["log_length"].cast("int"))
         return F.struct(entry[key].alias(key), F.decode(raw, "UTF-8").alias("log_content"))
 
-    return join_measured(files, wanted, ["pack"], "packs-wanted").select(F.inline(F.transform("entries", cut)))
+    return join_measured(files, wanted, ["pack"], "packs-wanted", MAX_LIST_BYTES).select(F.inline(F.transform("entries", cut)))
 
 
 def packed_manifest(spark: SparkSession, manifest: str, logs: str) -> DataFrame:

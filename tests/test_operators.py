@@ -10,7 +10,7 @@ from tasklore import schemas
 from tasklore.functions import fixed_values as fv
 from tasklore.functions import rules, templates
 from tasklore.operators import alerts, baseline, candidates, datasets, evaluation, extension, logs, novelty, ranking, reports, tasks
-from tasklore.operators.sizing import join_measured
+from tasklore.operators.sizing import join_measured, measured
 from tasklore.operators.template_tree import CREATED, TemplateTree
 from tasklore.plans import failure_analysis as plan
 
@@ -419,3 +419,10 @@ def test_stale_baseline_without_replacement_stays(spark):
     rebuilt = spark.createDataFrame([("d", "b", "z", 1, now, now)], schema)
     tasks = stored.select("dag_id", "task_id")
     assert {(r.task_id, r.template) for r in baseline.refresh(tasks, stored, rebuilt, now).collect()} == {("a", "x"), ("b", "z")}
+
+
+def test_nested_lists_are_measured_with_what_they_hold(spark):
+    rows = spark.range(2).select("id", F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda n: F.struct(n.alias("n"), F.lit("x" * 20).alias("name"))).alias("entries"))
+    assert not measured(rows, "nested", 100_000)[1] and measured(rows, "nested", 1_000_000)[1]
+    empty = spark.sql("SELECT CAST(NULL AS array<struct<n: int, name: string>>) AS entries, map('a', 'b') AS kept, CAST(NULL AS binary) AS raw")
+    assert measured(empty, "nested", 1000)[1] and not measured(empty, "nested", 1)[1]

@@ -143,3 +143,12 @@ def test_windows_do_not_depend_on_batches(spark, tmp_path, batches):
     got = {tuple(r) for r in stream.latest_batch(spark, str(tmp_path / "out")).select("window_start", "failures").collect()}
     batch = stream.windowed_counts(spark.read.parquet(str(folder)).filter("state = 'failed'").withColumn("event_time", F.col("start_date").cast("timestamp")), stream.sliding())
     assert got == {tuple(r) for r in batch.select("window_start", "failures").collect()}
+
+
+def test_packs_are_cut_alike_when_their_lists_are_too_long_to_broadcast(spark, tmp_path, monkeypatch):
+    texts = spark.range(300).select(F.concat(F.lit("r"), "id").alias("run_id"), F.repeat(F.col("id").cast("string"), 30).alias("log_content"))
+    manifest = writers.pack_logs(texts, str(tmp_path / "p"), "run_id", 2000)
+    monkeypatch.setattr(readers, "MAX_LIST_BYTES", 1000)
+    found = readers.packed_logs(spark, str(tmp_path / "p"), manifest, "run_id")
+    assert sorted(found.collect()) == sorted(texts.collect())
+    assert "strategy=broadcast" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -223,7 +223,7 @@ def j07(v: Views) -> DataFrame:
 SELECT run_id, CASE WHEN dag_id = 'dag_1' THEN 'lead' WHEN event_id % 2 = 0 THEN 'user_' || user_id ELSE 'desk' END AS recipients FROM task_runs WHERE state = 'failed'""")
 def j07_table(v: Views) -> DataFrame:
     """One pattern for every second run, and one that comes before them all."""
-    runs = v.task_runs
+    runs = v.heavy.task_runs
     own = runs.filter("event_id % 2 = 0").select(
         F.col("event_id").alias("position"), F.concat("dag_id", F.lit(r"\.task_[0-9]\."), "run_id", F.lit("$")).alias("pattern"),
         F.array(F.concat(F.lit("user_"), F.col("user_id").cast("string"))).alias("recipients"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tasklore import schemas
 from tasklore.functions import fixed_values as fv
 from tasklore.functions import rules, templates
-from tasklore.operators import alerts, baseline, candidates, datasets, evaluation, extension, logs, novelty, ranking, reports, tasks
+from tasklore.operators import alerts, baseline, candidates, datasets, evaluation, extension, logs, novelty, pattern_index, ranking, reports, tasks
 from tasklore.operators.sizing import join_measured, measured
 from tasklore.operators.template_tree import CREATED, TemplateTree
 from tasklore.plans import failure_analysis as plan
@@ -426,3 +426,14 @@ def test_nested_lists_are_measured_with_what_they_hold(spark):
     assert not measured(rows, "nested", 100_000)[1] and measured(rows, "nested", 1_000_000)[1]
     empty = spark.sql("SELECT CAST(NULL AS array<struct<n: int, name: string>>) AS entries, map('a', 'b') AS kept, CAST(NULL AS binary) AS raw")
     assert measured(empty, "nested", 1000)[1] and not measured(empty, "nested", 1)[1]
+
+
+def test_patterns_that_share_a_long_literal_are_filed_apart(spark):
+    rows = [(n, rf"dag_1\.task_[0-9]\.run_{10_000 + n}$", [f"{n}"]) for n in range(3000)]
+    table = spark.createDataFrame(rows, "position long, pattern string, recipients array<string>")
+    known = pattern_index.read_patterns(table, "recipients")
+    fullest = pattern_index.filed(known).groupBy("gram").count().agg(F.max("count")).first()[0]
+    assert fullest <= 5
+    keys = spark.createDataFrame([("dag_1.task_4.run_10007",), ("dag_1.task_4.run_100070",), ("dag_2.task_4.run_10007",), ("DAG_1.task_4.run_12999",)], "task_key string")
+    found = {row.task_key: row.recipients for row in alerts.table_recipients(keys, table, ["none"]).collect()}
+    assert found == {"dag_1.task_4.run_10007": ["7"], "dag_1.task_4.run_100070": ["none"], "dag_2.task_4.run_10007": ["none"], "DAG_1.task_4.run_12999": ["none"]}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from tasklore.functions import templates
 from tasklore.operators import template_tree
 from tasklore.operators.baseline import TreeSettings, distinct_lines, known_templates
+from tasklore.operators.novelty import SEEDED_TREES
 from tasklore.operators.sizing import join_measured, measured
 from tasklore.schemas import TASK_KEY, TRY_KEY
 from tasklore.session import scratch_path
@@ -51,24 +52,41 @@ def grow_tries(lines: DataFrame, seeds: DataFrame, forks: DataFrame) -> DataFram
     """The trees of the tries in a batch after its lines, and the lines that opened a template.
 
     A try goes on from its fork, or from its task's seed if it is new; without either every line counts as new and nothing is kept.
-    Only keys meet the stored forks; a group is the different texts of one try in one batch, so a hot task is spread by its tries.
+    Only keys meet the stored forks. A try is one row with its different texts in the batch, so many tries share an Arrow batch and
+    a hot task is spread by its tries; new tries of a task fork its seed, which is loaded once a task of Spark (or few times, if seeds are many).
     """
     merged = distinct_lines(lines.withColumn("try_number", F.col("try_number").cast("int")))
-    keys, small = measured(merged.select(*TRY_KEY).distinct(), "batch-tries")
+    fed = merged.groupBy(*TRY_KEY).agg(F.collect_list("normal").alias("normals"), F.collect_list("numbers").alias("numbers"))
+    keys = measured(merged.select(*TRY_KEY).distinct(), "batch-tries")[0]
     own = join_measured(forks.select(*TRY_KEY, "state"), keys, TRY_KEY, "batch-forks")
-    saved = keys.join(own, TRY_KEY, "left").join(seeds, TASK_KEY, "left").select(*TRY_KEY, F.coalesce("state", "seed").alias("state"))
-
-    def grow(key: tuple, before: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
-        state = before["state"].iloc[0] if len(before) else None
-        if state is None:
-            created = sorted(int(number) for numbers in group["numbers"] for number in numbers)
-        else:
-            tree = template_tree.TemplateTree.load(state)
-            created = tree.feed([(text, np.asarray(numbers).tolist()) for text, numbers in zip(group["normal"], group["numbers"], strict=True)])
-            state = tree.save()
-        return pd.DataFrame([(*key, state, created)], columns=["dag_id", "task_id", "run_id", "try_number", "state", "created"])
-
-    return saved.groupBy(*TRY_KEY).cogroup(merged.groupBy(*TRY_KEY)).applyInPandas(grow, GROWN)
+    first = seeds.groupBy(*TASK_KEY).agg(F.max("seed").alias("seed"))
+    ready = fed.join(own, TRY_KEY, "left").join(first, TASK_KEY, "left").select(
+        *TRY_KEY, "state", F.when(F.col("state").isNull(), F.col("seed")).alias("seed"), "normals", "numbers")
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeded: dict[bytes, template_tree.TemplateTree] = {}
+        for batch in batches:
+            names = batch.schema.names
+            states, created = [], []
+            for state, seed, normals, numbers in zip(*[batch.column(names.index(name)).to_pylist() for name in ("state", "seed", "normals", "numbers")], strict=True):
+                if state is None and seed is None:
+                    states.append(None)
+                    created.append(sorted(number for places in numbers for number in places))
+                    continue
+                if state is None:
+                    if seed not in seeded:
+                        if len(seeded) >= SEEDED_TREES:
+                            seeded.pop(next(iter(seeded)))
+                        seeded[seed] = template_tree.TemplateTree.load(seed)
+                    tree = seeded[seed].fork()
+                else:
+                    tree = template_tree.TemplateTree.load(state)
+                created.append(tree.feed(list(zip(normals, numbers, strict=True))))
+                states.append(tree.save())
+            mine = [pa.array(states, pa.binary()), pa.array(created, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(name)) for name in TRY_KEY), *mine], names=[*TRY_KEY, "state", "created"])
+
+    return ready.mapInArrow(grow, GROWN)
 
 
 def new_templates(lines: DataFrame, seeds: Callable[[], DataFrame], path: str, checkpoint: str, store: KeyedStore,

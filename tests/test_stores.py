@@ -181,3 +181,18 @@ def test_each_batch_meets_the_newest_baseline(spark, tmp_path, table):
     sizes = {row.early: (row.all_new, row.n) for row in found.groupBy((F.col("run_id") < "r030").alias("early")).agg(
         F.bool_and(F.col("n_anomalous") == F.col("n_lines")).alias("all_new"), F.count("*").alias("n")).collect()}
     assert sizes == {True: (True, 7), False: (False, 8)}
+
+
+def test_tries_of_a_batch_share_python_batches(spark, table):
+    learnt = baseline.tree_baseline(baseline.baseline_lines(table.filter("task_id <> 't2'"), table), AS_OF)
+    failed = table.filter("state = 'failed'")
+    lines = logs.log_entries(failed).select(*TRY_KEY, "line_number", "message")
+    seeds = tree_state.seed_states(learnt)
+    nobody = spark.createDataFrame([], tree_state.FORKS)
+    grown = tree_state.grow_tries(lines, seeds.unionAll(seeds), nobody)
+    plan = grown._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan  # a Python group a try costs more than the try
+    rows = grown.collect()
+    expected = {tuple(row) for row in novelty.novel_lines(novelty.tree_novelty(failed, learnt)).select(*TRY_KEY, "line_number").collect()}
+    assert {(*row[:4], number) for row in rows for number in row.created} == expected and len(rows) == failed.count()
+    assert {row.task_id for row in rows if row.state is None} == {"t2"}

@@ -211,7 +211,7 @@ class Views:
 
     @property
     def texts(self) -> DataFrame:
-        return spread(self.table("documents"), "doc_id")
+        return spread(self.table("documents"), "doc_id", rows_per_task=10_000)
 
     def view(self, name: str) -> DataFrame:
         views = {k: v.replace("{", "{{").replace("}", "}}") for k, v in definitions(Spark).items()}

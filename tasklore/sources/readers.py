@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -11,6 +13,7 @@ from tasklore.operators.candidates import from_log_lines
 from tasklore.operators.sizing import join_measured
 
 MAX_LIST_BYTES = 64 * 1024 * 1024
+ROWS_PER_TASK = 50_000
 
 
 def jdbc_tasks(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
@@ -21,14 +24,18 @@ def jdbc_tasks(spark: SparkSession, url: str, table: str, **options: str) -> Dat
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rebalance a source that comes in fewer partitions than there are cores, before costly per-row work.
+def spread(rows: DataFrame, *keys: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Rebalance a source before costly per-row work, so that no task gets more than about ``rows_per_task`` rows.
 
-    Few large unsplittable files would leave most of the cluster idle; a source with enough partitions
-    is returned unchanged, without a shuffle.
+    Partitions say nothing about rows: a row group is read by one task, however many partitions its file is cut into. The rows
+    of each partition are counted first, which reads no column. A source whose fullest partition is small enough, or
+    no fuller than an even share of the cores, is returned unchanged, without a shuffle.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, *keys)
+    sizes = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+    total, fullest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    tasks = max(cores, math.ceil(total / rows_per_task))
+    return rows if fullest * tasks <= 2 * total else rows.repartition(tasks, *keys)
 
 
 def raw_logs(spark: SparkSession, path: str) -> DataFrame:

@@ -145,6 +145,22 @@ def test_windows_do_not_depend_on_batches(spark, tmp_path, batches):
     assert got == {tuple(r) for r in batch.select("window_start", "failures").collect()}
 
 
+def test_rows_of_one_row_group_are_spread_however_many_partitions_there_are(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(40_000).select("id", F.repeat(F.col("id").cast("string"), 20).alias("text")).coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        table = spark.read.parquet(path)
+        assert table.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = [row.n for row in readers.spread(table, "id", rows_per_task=1000).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 40_000 and max(sizes) < 2000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    even = spark.range(0, 4000, 1, 4)
+    assert readers.spread(even, "id") is even and readers.spread(even.filter("id < 0"), "id").count() == 0
+
+
 def test_packs_are_cut_alike_when_their_lists_are_too_long_to_broadcast(spark, tmp_path, monkeypatch):
     texts = spark.range(300).select(F.concat(F.lit("r"), "id").alias("run_id"), F.repeat(F.col("id").cast("string"), 30).alias("log_content"))
     manifest = writers.pack_logs(texts, str(tmp_path / "p"), "run_id", 2000)

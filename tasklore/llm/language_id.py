@@ -187,7 +187,7 @@ def identify(documents: DataFrame, model: LanguageModel | None, keep: tuple[str,
     return kept.mapInArrow(predict, result)
 
 
-def parts(batch: pa.RecordBatch, at_most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, at_most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of about ``at_most`` text bytes (one row at least), so the arrays of positions stay small."""
     lengths = np.diff(np.frombuffer(batch.column(batch.num_columns - 1).cast(pa.large_string()).buffers()[1], np.int64,
                                     batch.num_rows + 1, batch.column(batch.num_columns - 1).cast(pa.large_string()).offset * 8))

@@ -13,6 +13,7 @@ null; an empty table gives no rows. Special-token strings in a text are read as
 from __future__ import annotations
 
 import re
+import weakref
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -77,8 +78,9 @@ class DocumentIds:
         self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.uncommon = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ɏ]")
-        self.words = BoundedCache(self._word, WORD_ENTRIES)
-        self.chunks = BoundedCache(self._chunk, CHUNK_ENTRIES)
+        me = weakref.proxy(self)  # without a cycle the caches go when their task ends, not when a Python worker happens to collect garbage
+        self.words = BoundedCache(lambda word: me._word(word), WORD_ENTRIES)
+        self.chunks = BoundedCache(lambda chunk: me._chunk(chunk), CHUNK_ENTRIES)
 
     def _word(self, word: str) -> bytes:
         if word[:1] == " " and word.isascii() and word[1:].isalpha():

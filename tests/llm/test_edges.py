@@ -119,3 +119,21 @@ def test_a_query_id_with_several_vectors_is_asked_with_the_least(spark):
         frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(parts)
         found = [(row.query_id, row["rank"], row.vec_id, row.score) for row in topk.top_k(frame).orderBy("rank").collect()]
         assert found == [(0, 1, 2, 32768), (0, 2, 1, -32768)]
+
+
+def test_packing_caches_go_with_their_task():
+    import gc
+    import weakref
+
+    import public_tokenizers
+    from tasklore.llm import packing
+
+    gc.disable()  # a Python worker goes on with other tasks for long before it looks for cycles
+    try:
+        ids = packing.DocumentIds(public_tokenizers.path("byte_bpe_50k.json"))
+        assert len(ids.of("plain words, and words")) > 4
+        gone = weakref.ref(ids.words), weakref.ref(ids.chunks)
+        del ids
+        assert [one() for one in gone] == [None, None]
+    finally:
+        gc.enable()

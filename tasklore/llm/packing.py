@@ -16,11 +16,12 @@ import re
 import weakref
 import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,9 @@ from tasklore.llm.common import strings, written
 
 MAX_TOKENS = 2048
 END_ID = 0
-WORD_ENTRIES, CHUNK_ENTRIES = 300_000, 100_000
+END = END_ID.to_bytes(4, "little")
+KNOWN_ENTRIES = 200_000
+SLICE_CHARACTERS = 4_000_000
 MARKS = frozenset(".,;:!?")
 SHARD_ROWS = 50_000
 RUNS_BROADCAST = 200_000
@@ -42,22 +45,36 @@ def byte_alphabet() -> dict[int, str]:
     return {byte: chr(byte) if byte in printable else chr(256 + others.index(byte)) for byte in range(256)}
 
 
-class BoundedCache(dict):
-    """Values made once a key, in two generations of at most ``entries``: frequent keys move to the young one, the old one goes."""
+class KnownIds:
+    """Ids of texts made once a text, held as Arrow arrays of a few bytes an entry. Beyond ``entries`` only those just asked for stay."""
 
-    def __init__(self, make: Callable[[str], bytes], entries: int):
-        super().__init__()
-        self.make, self.entries, self.old = make, entries, {}
+    def __init__(self, make: Callable[[list[str]], pa.Array], entries: int):
+        self.make, self.entries = make, entries
+        self.keys, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.entries:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+    def of(self, texts: pa.Array) -> pa.Array:
+        asked = texts.dictionary_encode()
+        places = pc.index_in(asked.dictionary, value_set=self.keys)
+        if places.null_count:
+            new = places.is_null().to_numpy(zero_copy_only=False)
+            keys = asked.dictionary.filter(pa.array(new))
+            known = places.fill_null(0).to_numpy().copy()
+            known[new] = np.arange(len(self.keys), len(self.keys) + len(keys))
+            places = pa.array(known)
+            self.ids = pa.concat_arrays([self.ids, self.make(keys.to_pylist())])
+            self.keys = pa.concat_arrays([self.keys, keys])
+        found = self.ids.take(places.take(asked.indices))
+        if len(self.keys) > self.entries:
+            self.keys, self.ids = asked.dictionary, self.ids.take(places)
+        return found
+
+
+def joined(ids: pa.Array, starts: np.ndarray) -> pa.Array:
+    """Neighbouring entries put together: those from one start up to the next."""
+    if not len(ids):
+        return pa.array([b""] * (len(starts) - 1), pa.large_binary())
+    _, places, content = ids.buffers()
+    return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(np.frombuffer(places, np.int64)[starts]), content])
 
 
 class DocumentIds:
@@ -65,7 +82,8 @@ class DocumentIds:
 
     Only texts of common Latin characters, without digits that are no ASCII digits, are split here: for those every library agrees on
     letters, numbers and white space. All others, and texts that hold a special token, go to the tokenizer whole. A pre-token has no
-    space but at its start, so a text whose spaces are single is taken in chunks from space to space.
+    space but at its start, so a text whose spaces are single is taken in chunks from space to space; Arrow splits the texts of a slice and
+    finds their different chunks, and Python sees each of those once a slice.
     """
 
     def __init__(self, path: str):
@@ -78,9 +96,9 @@ class DocumentIds:
         self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.uncommon = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ɏ]")
-        me = weakref.proxy(self)  # without a cycle the caches go when their task ends, not when a Python worker happens to collect garbage
-        self.words = BoundedCache(lambda word: me._word(word), WORD_ENTRIES)
-        self.chunks = BoundedCache(lambda chunk: me._chunk(chunk), CHUNK_ENTRIES)
+        me = weakref.proxy(self)  # without a cycle the entries go when their task ends, not when a Python worker happens to collect garbage
+        self.words = KnownIds(lambda words: me._of_words(words), KNOWN_ENTRIES)
+        self.chunks = KnownIds(lambda chunks: me._of_chunks(chunks), KNOWN_ENTRIES)
 
     def _word(self, word: str) -> bytes:
         if word[:1] == " " and word.isascii() and word[1:].isalpha():
@@ -89,27 +107,65 @@ class DocumentIds:
             spelt = word.encode().decode("latin-1").translate(self.alphabet)
         return b"".join([token.id.to_bytes(4, "little") for token in self.model.tokenize(spelt)])
 
-    def _chunk(self, chunk: str) -> bytes:
-        """A word, or a word and one mark, needs no pattern: a run of letters is one pre-token, and so is a mark after it."""
-        if chunk.isalpha():
-            return self.words[" " + chunk]
-        if chunk[-1:] in MARKS and chunk[:-1].isalpha():
-            return self.words[" " + chunk[:-1]] + self.words[chunk[-1]]
-        return self._plain(" " + chunk)
+    def _of_words(self, words: list[str]) -> pa.Array:
+        return pa.array(map(self._word, words), pa.large_binary())
+
+    def _of_chunks(self, chunks: list[str]) -> pa.Array:
+        """What follows a space. A word, or a word and one mark, needs no pattern: a run of letters is one pre-token, and so is a mark after it."""
+        def words(chunk: str) -> list[str]:
+            if chunk.isalpha():
+                return [" " + chunk]
+            if chunk[-1:] in MARKS and chunk[:-1].isalpha():
+                return [" " + chunk[:-1], chunk[-1]]
+            return self.split(" " + chunk)
+
+        return self._joined(map(words, chunks))
 
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.split(text)))
+    def _joined(self, lists: Iterable[list[str]]) -> pa.Array:
+        """Ids of lists of pre-tokens."""
+        flat, starts = [], [0]
+        for words in lists:
+            flat += words
+            starts.append(len(flat))
+        return joined(self.words.of(pa.array(flat, pa.large_string())), np.array(starts))
 
     def of(self, text: str | None) -> bytes:
-        end = END_ID.to_bytes(4, "little")
-        if not text:
-            return end
-        if self.uncommon.search(text) or any(token in text for token in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
-        if "  " in text:
-            return self._plain(text) + end
-        first, *others = text.split(" ")
-        return self._plain(first) + b"".join(map(self.chunks.__getitem__, others)) + end
+        return self.of_all([text])[0]
+
+    def of_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text with its end token."""
+        found = [END] * len(texts)
+        split: list[int] = []
+        firsts, others = [], []  # a text up to its first space, or all of it, and the rest
+        for number, text in enumerate(texts):
+            if not text:
+                continue
+            if self.uncommon.search(text) or any(token in text for token in self.special):
+                found[number] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + END
+                continue
+            first, space, rest = (text, "", "") if "  " in text else text.partition(" ")
+            split.append(number)
+            firsts.append(first)
+            others.append(rest if space else None)
+        chunks = pc.split_pattern(pa.array(others, pa.large_string()), " ")
+        heads = self._joined(map(self.split, firsts))
+        tails = joined(self.chunks.of(chunks.flatten()), np.asarray(chunks.offsets))
+        for number, head, tail in zip(split, heads, tails, strict=True):
+            found[number] = b"".join([head.as_buffer(), tail.as_buffer(), END])
+        return found
+
+
+def slices(texts: list[str | None], characters: int) -> Iterator[slice]:
+    """Neighbouring texts of about so many characters; a longer one stands alone."""
+    start = held = 0
+    for number, text in enumerate(texts):
+        size = len(text or "")
+        if held and held + size > characters:
+            yield slice(start, number)
+            start, held = number, 0
+        held += size
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def cut(size: int, limit: int) -> list[tuple[int, int]]:
@@ -126,10 +182,12 @@ def pieces(documents: DataFrame, tokenizer: str, limit: int = MAX_TOKENS) -> Dat
         for batch in batches:
             ids_of = ids_of or DocumentIds(tokenizer)
             rows: list[tuple] = []
-            for doc_id, text in zip(strings(batch, "doc_id"), strings(batch, "text"), strict=True):
-                ids = ids_of.of(text)
-                rows += [(doc_id, number, start, length, zlib.crc32(ids[4 * start:4 * (start + length)]))
-                         for number, (start, length) in enumerate(cut(len(ids) // 4, limit))]
+            doc_ids, texts = strings(batch, "doc_id"), strings(batch, "text")
+            for part in slices(texts, SLICE_CHARACTERS):
+                for doc_id, ids in zip(doc_ids[part], ids_of.of_all(texts[part]), strict=True):
+                    rows += [(doc_id, number, start, length, zlib.crc32(ids[4 * start:4 * (start + length)]))
+                             for number, (start, length) in enumerate(cut(len(ids) // 4, limit))]
+                pa.default_memory_pool().release_unused()  # a reused Python worker would keep it
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             columns = zip(*rows, strict=True) if rows else ([] for _ in kinds)
             yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)],

@@ -137,3 +137,29 @@ def test_packing_caches_go_with_their_task():
         assert [one() for one in gone] == [None, None]
     finally:
         gc.enable()
+
+
+def test_token_ids_of_many_texts_are_those_of_each(monkeypatch):
+    """Chunks are looked up together; few entries stay, and what has gone is made again. An entry takes far less than two Python objects."""
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from tasklore.llm import packing
+
+    monkeypatch.setattr(packing, "KNOWN_ENTRIES", 40)
+    ids, make = packing.DocumentIds(public_tokenizers.path("byte_bpe_50k.json")), random.Random(7)
+    parts = ["a", "Bcd", "élan", "ß", "don't", "12", "3.5", ".", ",", "!?", "_", "²", "日", "\t", "\n", "\r\n", " ", "  ", "(x)", "x;", "Ñ!", "<|endoftext|>"]
+    texts = [None, "", " ", "  ", "a", " a", "a ", "\n a", "a\n b", "a \n", "x" * 9000] + [
+        "".join(make.choice(parts) + make.choice(("", " ", " ", "\n")) for _ in range(make.randint(1, 12))) for _ in range(600)]
+    for start in (0, 11, 300):
+        for text, found in zip(texts[start:], ids.of_all(texts[start:]), strict=True):
+            assert np.frombuffer(found, "<u4").tolist() == [*ids.tokenizer.encode(text or "", add_special_tokens=False).ids, 0], text
+            assert found == ids.of(text)
+    assert [text for part in packing.slices(texts, 50) for text in texts[part]] == texts
+    assert all(len(texts[part]) == 1 or sum(len(text or "") for text in texts[part]) <= 50 for part in packing.slices(texts, 50))
+    monkeypatch.setattr(packing, "KNOWN_ENTRIES", 100_000)
+    ids = packing.DocumentIds(public_tokenizers.path("byte_bpe_50k.json"))
+    ids.of_all([" ".join("".join(make.choice("abcdefgh") for _ in range(9)) for _ in range(20_000))])
+    for known in (ids.words, ids.chunks):
+        assert len(known.keys) > 19_000 and known.keys.nbytes + known.ids.nbytes < 70 * len(known.keys)

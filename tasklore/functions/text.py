@@ -18,8 +18,8 @@ def strip(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """Strip, then turn every run of whitespace into one blank."""
-    return F.regexp_replace(strip(text), f"{WS}+", " ")
+    """Strip, then turn every run of whitespace into one blank. A single blank is one already and is left alone."""
+    return F.regexp_replace(strip(text), f"{WS}{{2,}}|(?! ){WS}", " ")
 
 
 def tokens(text: Column) -> Column:

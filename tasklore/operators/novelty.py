@@ -8,9 +8,10 @@ salts and its template array is repeated once per salt.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +31,15 @@ SEEDED_TREES = 64  # trees kept per Python task; tries of one task fork the seed
 
 
 def attach_known(tries: DataFrame, baseline: DataFrame, salts: int = SALTS,
-                 max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Add ``known``, the templates of the task, and ``baseline_updated``; both null when it has no baseline."""
-    known, small = measured(known_templates(baseline), "known-templates", max_bytes)
+                 max_bytes: int = MAX_BROADCAST_BYTES, seeds: bool = False) -> DataFrame:
+    """Add ``known``, the templates of the task, and ``baseline_updated``; both null when it has no baseline.
+
+    ``seeds`` adds ``seed_text``, the normalised templates as one JSON text: made once a task, not once a try.
+    """
+    known = known_templates(baseline)
+    if seeds:
+        known = known.withColumn("seed_text", F.to_json(F.transform("known", templates.normalise)))
+    known, small = measured(known, "known-templates", max_bytes)
     if small:
         return tries.join(F.broadcast(known), TASK_KEY, "left")
     salt = F.pmod(F.xxhash64("run_id", "try_number"), F.lit(salts)).cast("int")
@@ -56,53 +63,49 @@ def tree_novelty(tries: DataFrame, baseline: DataFrame, max_lines: int | None =
                  settings: TreeSettings = TreeSettings()) -> DataFrame:
     """Add ``lines`` and ``anomalous`` using the template tree seeded with the baseline.
 
-    The Python side sees one try per record with the templates of its task and its lines; equal lines are looked at together.
+    The Python side sees one try per record with the seeds of its task and its lines; equal lines are looked at together.
     Spark bounds an Arrow batch by ``spark.sql.execution.arrow.maxBytesPerBatch``.
     """
-    attached = log_ops.with_lines(attach_known(tries, baseline), max_lines)
-    fed = attached.withColumns({
-        "seed_text": F.transform("known", templates.normalise),
-        "line_text": F.transform("lines", lambda item: templates.normalise(item["message"])),
-    })
+    attached = log_ops.with_lines(attach_known(tries, baseline, seeds=True), max_lines)
+    fed = attached.withColumn("line_text", F.transform("lines", lambda item: templates.normalise(item["message"])))
     created = fed.withColumn("created", _created_positions(settings)(F.col("seed_text"), F.col("line_text")))
     first = F.transform("created", lambda position: F.element_at(F.col("lines"), position))
-    anomalous = F.when(F.col("known").isNull(), F.col("lines")).otherwise(first)
+    anomalous = F.when(F.col("seed_text").isNull(), F.col("lines")).otherwise(first)
     return log_ops.pin(created, anomalous=anomalous).drop("seed_text", "line_text", "created")
 
 
 def _created_positions(settings: TreeSettings):
-    """Arrow UDF: (seed texts, line texts) to the 1-based positions of lines that open a new template."""
+    """Arrow UDF: (seeds as JSON, line texts) to the 1-based positions of lines that open a new template."""
     args = settings.args()
 
-    def created(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def created(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         def split(text: str) -> list[str]:
             return text.split(" ") if text else []
 
-        def seeded(seed: tuple[str, ...]) -> template_tree.TemplateTree:
+        def seeded(seed: str) -> template_tree.TemplateTree:
             tree = template_tree.TemplateTree(*args)
-            for text in seed:
+            for text in json.loads(seed):
                 tree.add(split(text))
             return tree
 
-        kept: dict[tuple[str, ...], template_tree.TemplateTree] = {}
+        kept: dict[str, template_tree.TemplateTree] = {}
         for seeds, lines in batches:
             out: list[list[int]] = []
-            for seed, line in zip(seeds, lines):
+            for seed, line in zip(seeds.to_pylist(), lines.to_pylist(), strict=True):
                 if seed is None:
                     out.append([])
                     continue
-                key = tuple(seed)
-                if key not in kept:
+                if seed not in kept:
                     if len(kept) >= SEEDED_TREES:
                         kept.pop(next(iter(kept)))
-                    kept[key] = seeded(key)
+                    kept[seed] = seeded(seed)
                 places: dict[str, list[int]] = {}
                 for number, text in enumerate(line, start=1):
                     places.setdefault(text, []).append(number)
-                out.append(kept[key].fork().feed(places.items()))
-            yield pd.Series(out)
+                out.append(kept[seed].fork().feed(places.items()))
+            yield pa.array(out, pa.list_(pa.int32()))
 
-    return F.pandas_udf(created, "array<int>")
+    return F.arrow_udf(created, "array<int>")
 
 
 def novelty_score(lines: Column, anomalous: Column) -> Column:

@@ -437,3 +437,28 @@ def test_patterns_that_share_a_long_literal_are_filed_apart(spark):
     keys = spark.createDataFrame([("dag_1.task_4.run_10007",), ("dag_1.task_4.run_100070",), ("dag_2.task_4.run_10007",), ("DAG_1.task_4.run_12999",)], "task_key string")
     found = {row.task_key: row.recipients for row in alerts.table_recipients(keys, table, ["none"]).collect()}
     assert found == {"dag_1.task_4.run_10007": ["7"], "dag_1.task_4.run_100070": ["none"], "dag_2.task_4.run_10007": ["none"], "DAG_1.task_4.run_12999": ["none"]}
+
+
+def test_seeds_are_normalised_once_a_task_and_short_logs_are_fed_line_by_line(spark):
+    """The plan normalises no template beside a try, and any mixture of repeats gives what line by line gives."""
+    tries = spark.createDataFrame([("d", "t", f"r{number}", 1, "alpha 1 beta\nalpha 2 beta\n gamma  delta\nalpha 3 beta\nnew words here") for number in range(3)],
+                                  "dag_id string, task_id string, run_id string, try_number long, log_content string").withColumn("start_date", F.lit(None).cast("timestamp_ntz"))
+    known = spark.createDataFrame([("d", "t", 0, "alpha <:NUM:> beta", 3)], "dag_id string, task_id string, cluster_no int, template string, size bigint")
+    known = known.withColumn("last_updated", F.lit(None).cast("timestamp_ntz"))
+    found = novelty.tree_novelty(tries, known)
+    assert "seed_text" not in found.columns and "known" in found.columns
+    assert {tuple(line.line_number for line in row.anomalous) for row in found.collect()} == {(3, 5)}
+    attached = novelty.attach_known(tries, known, seeds=True)
+    assert {row.seed_text for row in attached.collect()} == {'["alpha <:NUM:> beta"]'}
+    words = ["a", "b", "c", "<*>", "7", "x1"]
+    make = random.Random(11)
+    for repeats in (1, 2, 6, 30):
+        for _ in range(60):
+            pool = [" ".join(make.choice(words) for _ in range(make.randint(0, 5))) for _ in range(6)]
+            lines = [make.choice(pool) for _ in range(6 * repeats)]
+            places = {}
+            for number, line in enumerate(lines):
+                places.setdefault(line, []).append(number)
+            one, many = TemplateTree(), TemplateTree()
+            created = [number for number, line in enumerate(lines) if one.add(line.split(" ") if line else [])[0] == CREATED]
+            assert many.feed(places.items()) == created and many.templates() == one.templates()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tasklore.session import scratch_path
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 1_000
 HASHES = 1 << 40
 STRETCHES = 256
 
@@ -65,6 +68,22 @@ def smallest_hashes(rows: DataFrame, label: str, per_label: int | Column, key: s
     return whole.select(*rows.columns).union(ranked.select(*rows.columns))
 
 
+def texts_for_python(rows: DataFrame) -> DataFrame:
+    """The rows, and a session that sends them to Python in Arrow batches of at most ``TEXT_ROWS`` rows; a smaller setting stays.
+
+    Whole texts are large, and an executor holds a batch several times for each task: as rows, in Arrow on both sides, as Python strings.
+    """
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_ROWS)) <= TEXT_ROWS:
+        conf.set(BATCH_ROWS, TEXT_ROWS)
+    return rows
+
+
+def give_back() -> None:
+    """Return the memory that Arrow keeps for later batches. Spark keeps idle Python workers, and each would hold its share for good."""
+    pa.default_memory_pool().release_unused()
+
+
 def strings(batch, name: str) -> list[str | None]:
     """A string column of an Arrow batch as Python values."""
     return batch.column(batch.schema.get_field_index(name)).to_pylist()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tasklore.llm.common import id_remainder, kept_names, packed, smallest_hashes, strings, unpacked
+from tasklore.llm.common import give_back, id_remainder, kept_names, packed, smallest_hashes, strings, texts_for_python, unpacked
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -153,8 +153,9 @@ def fit(documents: DataFrame, per_language: int = 600, bits: int = 16) -> Langua
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, pa.int64()), pa.array(languages, pa.string()), pa.array(buckets, pa.list_(pa.int32())),
                     pa.array(shares, pa.list_(pa.float32()))], names=["doc_id", "lang", "buckets", "shares"])
+            give_back()
 
-    kept = rows.mapInArrow(vectors, "doc_id long, lang string, buckets array<int>, shares array<float>").toArrow()
+    kept = texts_for_python(rows).mapInArrow(vectors, "doc_id long, lang string, buckets array<int>, shares array<float>").toArrow()
     order = np.argsort(kept.column("doc_id").to_numpy(), kind="stable")
     samples = []
     for number in order:
@@ -183,8 +184,9 @@ def identify(documents: DataFrame, model: LanguageModel | None, keep: tuple[str,
                 rejected = [language == UNKNOWN or score < model.reject_below for language, score in zip(languages, scores, strict=True)]
                 mine = [pa.array(values, field.type) for values, field in zip((languages, scores, rejected), schema, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *mine], names=[*part.schema.names[:-1], *schema.names])
+                give_back()
 
-    return kept.mapInArrow(predict, result)
+    return texts_for_python(kept).mapInArrow(predict, result)
 
 
 def parts(batch: pa.RecordBatch, at_most: int = 1_000_000) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklore.llm.common import strings, written
+from tasklore.llm.common import give_back, strings, texts_for_python, written
 
 MAX_TOKENS = 2048
 END_ID = 0
@@ -187,13 +187,13 @@ def pieces(documents: DataFrame, tokenizer: str, limit: int = MAX_TOKENS) -> Dat
                 for doc_id, ids in zip(doc_ids[part], ids_of.of_all(texts[part]), strict=True):
                     rows += [(doc_id, number, start, length, zlib.crc32(ids[4 * start:4 * (start + length)]))
                              for number, (start, length) in enumerate(cut(len(ids) // 4, limit))]
-                pa.default_memory_pool().release_unused()  # a reused Python worker would keep it
+                give_back()
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             columns = zip(*rows, strict=True) if rows else ([] for _ in kinds)
             yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)],
                                              names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select("doc_id", "text").mapInArrow(compute, PIECES)
+    return texts_for_python(documents.select("doc_id", "text")).mapInArrow(compute, PIECES)
 
 
 class CapacityTree:

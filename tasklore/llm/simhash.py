@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklore.llm.common import packed, strings, unpacked, written
+from tasklore.llm.common import give_back, packed, strings, texts_for_python, unpacked, written
 from tasklore.llm.components import components, merge
 from tasklore.operators.sizing import measured
 
@@ -59,8 +59,9 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         for batch in batches:
             found = [fingerprint(text) for text in strings(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fingerprint_bits"])
+            give_back()
 
-    return documents.select("doc_id", "text").mapInArrow(compute, "doc_id long, fingerprint_bits long")
+    return texts_for_python(documents.select("doc_id", "text")).mapInArrow(compute, "doc_id long, fingerprint_bits long")
 
 
 def _bands(distinct: DataFrame, radius: int) -> DataFrame:

@@ -163,3 +163,28 @@ def test_token_ids_of_many_texts_are_those_of_each(monkeypatch):
     ids.of_all([" ".join("".join(make.choice("abcdefgh") for _ in range(9)) for _ in range(20_000))])
     for known in (ids.words, ids.chunks):
         assert len(known.keys) > 19_000 and known.keys.nbytes + known.ids.nbytes < 70 * len(known.keys)
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    from tasklore.llm import common, language_id, packing, simhash
+
+    frame = spark.range(5_000).selectExpr("id as doc_id", "concat('some words, ', id) as text", "'en' as lang").coalesce(1)
+    before = spark.conf.get(common.BATCH_ROWS)
+
+    def batch_rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    try:
+        for make in (lambda: packing.pieces(frame, "unused"), lambda: simhash.fingerprints(frame), lambda: language_id.identify(frame, None)):
+            spark.conf.set(common.BATCH_ROWS, 10_000)
+            make()
+            sizes = [row.n for row in frame.mapInArrow(batch_rows, "n long").collect()]
+            assert sum(sizes) == 5_000 and max(sizes) <= common.TEXT_ROWS
+            spark.conf.set(common.BATCH_ROWS, 10)
+            make()
+            assert spark.conf.get(common.BATCH_ROWS) == "10"
+    finally:
+        spark.conf.set(common.BATCH_ROWS, before)

@@ -192,6 +192,8 @@ def pieces(documents: DataFrame, tokenizer: str, limit: int = MAX_TOKENS) -> Dat
             columns = zip(*rows, strict=True) if rows else ([] for _ in kinds)
             yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)],
                                              names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids_of = None  # the known ids go before Arrow's memory is given back for good
+        give_back()
 
     return texts_for_python(documents.select("doc_id", "text")).mapInArrow(compute, PIECES)
 

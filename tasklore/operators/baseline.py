@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,7 +61,8 @@ def shape_baseline(lines: DataFrame, as_of: datetime | Column) -> DataFrame:
 
 
 STATE_SCHEMA = "dag_id string, task_id string, state binary, line_count bigint, template_count int, evicted_count bigint"
-RUN_BITS = 40  # a position is the number of the try, then the line; a log has fewer lines than 2^40
+SAVED = "struct<state: binary, line_count: bigint, template_count: int, evicted_count: bigint>"
+FED_ROWS, FED_BYTES = 50_000, 8 * 1024 * 1024  # about so much of a task's lines goes to its tree at once
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -70,34 +74,78 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
 def grow_states(lines: DataFrame, states: DataFrame | None = None, settings: TreeSettings = TreeSettings()) -> DataFrame:
     """Saved trees, one a task, after its lines in (run, try, line) order; given states are grown further, others are new.
 
-    Growing in two steps equals growing once over all lines if the second step's runs come after the first's. A group holds the
-    different texts of one task and the positions of its lines. ``evicted_count`` says how many templates a bounded tree has dropped.
+    Growing in two steps equals growing once over all lines if the second step's runs come after the first's. The lines of a task
+    come sorted by Spark, after its saved tree, and pass through Python a stretch at a time, so neither side holds a task's lines,
+    however many it has. ``evicted_count`` says how many templates a bounded tree has dropped.
     """
     args = settings.args()
-
-    def mine(key: tuple, saved: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
-        tree, before = template_tree.TemplateTree(*args), 0
-        if len(saved):
-            tree, before = template_tree.TemplateTree.load(saved["state"].iloc[0]), int(saved["line_count"].iloc[0])
-        places: dict[str, list] = {}
-        for number, (_, part) in enumerate(group.groupby(["run_id", "try_number"], sort=True, dropna=False)):
-            for text, numbers in zip(part["normal"], part["numbers"], strict=True):
-                places.setdefault(text, []).append(np.asarray(numbers, np.int64) + (number << RUN_BITS))
-        tree.feed([(text, np.concatenate(parts).tolist()) for text, parts in places.items()])
-        count = before + sum(len(part) for parts in places.values() for part in parts)
-        row = (*key, tree.save(), count, len(tree.templates()), tree.evicted)
-        return pd.DataFrame([row], columns=["dag_id", "task_id", "state", "line_count", "template_count", "evicted_count"])
-
-    merged = distinct_lines(lines)
+    rows = lines.select(*TRY_KEY, "line_number", templates.normalise(F.col("message")).alias("normal"))
     if states is None:
-        empty = pd.DataFrame(columns=["state", "line_count"])
-        return merged.groupBy(*TASK_KEY).applyInPandas(lambda key, group: mine(key, empty, group), STATE_SCHEMA)
-    known = states.select(*TASK_KEY, "state", "line_count", "template_count", "evicted_count")
-
-    def grow(key: tuple, saved: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
-        return mine(key, saved, group) if len(group) else saved
-
-    return known.groupBy(*TASK_KEY).cogroup(merged.groupBy(*TASK_KEY)).applyInPandas(grow, STATE_SCHEMA)
+        rows = rows.withColumn("saved", F.lit(None).cast(SAVED))
+    else:
+        known = states.select(*TASK_KEY, F.struct("state", "line_count", "template_count", "evicted_count").cast(SAVED).alias("saved"))
+        rows = rows.unionByName(known, allowMissingColumns=True)
+    last = [F.col(name).asc_nulls_last() for name in ("run_id", "try_number")]
+    ordered = rows.repartition(*TASK_KEY).sortWithinPartitions(*TASK_KEY, F.col("saved").isNull(), *last, "line_number", "normal")
+
+    def feed(tree: template_tree.TemplateTree, waiting: list[pa.Array]) -> None:
+        coded = pc.fill_null(pa.concat_arrays(waiting), "").dictionary_encode()
+        codes = coded.indices.to_numpy()
+        places = np.split(np.argsort(codes, kind="stable"), np.cumsum(np.bincount(codes))[:-1])
+        tree.feed([(text, numbers.tolist()) for text, numbers in zip(coded.dictionary.to_pylist(), places, strict=True)])
+        waiting.clear()
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept, tree, count = None, [], None, 0
+        waiting: list[pa.Array] = []
+        done: list[tuple] = []
+
+        def end() -> None:
+            """The row of a task whose lines are over; one without lines keeps what it has."""
+            if waiting:
+                feed(tree, waiting)
+            if tree is None:
+                done.extend((*key, *one.values()) for one in kept)
+            else:
+                done.append((*key, tree.save(), count, len(tree.templates()), tree.evicted))
+
+        def written() -> pa.RecordBatch:
+            columns = [pa.array(values, kind) for values, kind in zip(zip(*done, strict=True), kinds, strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
+        names = [*TASK_KEY, "state", "line_count", "template_count", "evicted_count"]
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            ends = {stop for name in TASK_KEY for stop in pc.run_end_encode(columns[name]).run_ends.to_pylist()}
+            for start, stop in pairwise([0, *sorted(ends)]):
+                now = tuple(columns[name][start].as_py() for name in TASK_KEY)
+                if now != key:
+                    if key is not None:
+                        end()
+                    if sum(len(row[2]) for row in done) >= FED_BYTES or len(done) >= FED_ROWS:
+                        yield written()
+                    key, kept, tree, count = now, [], None, 0
+                saved = columns["saved"].slice(start, stop - start).drop_null()
+                kept += saved.to_pylist()
+                fed = columns["normal"].slice(start + len(saved), stop - start - len(saved))
+                if not len(fed):
+                    continue
+                if tree is None and kept:
+                    tree, count = template_tree.TemplateTree.load(kept[0]["state"]), kept[0]["line_count"]
+                elif tree is None:
+                    tree = template_tree.TemplateTree(*args)
+                waiting.append(fed)
+                count += len(fed)
+                if sum(map(len, waiting)) >= FED_ROWS or sum(part.nbytes for part in waiting) >= FED_BYTES:
+                    feed(tree, waiting)
+        if key is not None:
+            end()
+        if done:
+            yield written()
+
+    return ordered.mapInArrow(grow, STATE_SCHEMA)
 
 
 def state_templates(states: DataFrame) -> DataFrame:

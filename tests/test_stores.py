@@ -1,12 +1,13 @@
 """Keyed tables that grow by batches, stored baselines, and the streams that write them."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from tasklore.operators import baseline, logs, novelty, stored_baselines
+from tasklore.operators import baseline, logs, novelty, stored_baselines, template_tree
 from tasklore.plans import monitoring
 from tasklore.schemas import TRY_KEY
 from tasklore.sources.keyed_store import KeyedStore
@@ -113,6 +114,44 @@ def test_a_bounded_tree_says_what_it_dropped(spark, table):
     assert all(row.template_count == 2 and row.evicted_count > 0 for row in states)
 
 
+def test_growth_takes_a_task_a_stretch_at_a_time(spark, monkeypatch):
+    """No part of the tree sees more than a few batches of lines, and the answer is that of line by line, from new and from saved trees."""
+    words = ("load", "read", "open it", "write", "close all of it")
+    entries = [(dag, task, f"r{run}", attempt, at, f"{words[(run * at + attempt) % 5]} table {'abcd'[(run + at) % 4]} rows {'xyz'[at % 3]}")
+               for dag, task, runs in (("d", "t0", 40), ("d", "t1", 3), (None, "t0", 12), ("d", None, 2)) for run in range(runs)
+               for attempt in (1, 2) for at in range(1, 8 + run % 4)]
+    entries += entries[:50]  # lines that come twice
+    random.Random(3).shuffle(entries)
+    lines = spark.createDataFrame(entries, "dag_id string, task_id string, run_id string, try_number int, line_number int, message string").repartition(3)
+    whole = template_tree.TemplateTree.feed
+
+    def feed(tree, texts):
+        texts = list(texts)
+        assert sum(len(places) for _, places in texts) <= 40, "more of a task than a stretch"
+        return whole(tree, texts)
+
+    expected = {}
+    args = baseline.TreeSettings().args()
+    for dag, task, _, _, _, message in sorted(entries, key=lambda one: (one[0] or "", one[1] or "", *one[2:])):
+        expected.setdefault((dag, task), template_tree.TemplateTree(*args)).add(message.split(" "))
+    monkeypatch.setattr(template_tree.TemplateTree, "feed", feed)
+    monkeypatch.setattr(baseline, "FED_ROWS", 20, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        once = {(row.dag_id, row.task_id): row for row in baseline.grow_states(lines).collect()}
+        first = baseline.grow_states(lines.filter("run_id < 'r2'")).localCheckpoint()
+        later = {(row.dag_id, row.task_id): row for row in baseline.grow_states(lines.filter("run_id >= 'r2'"), first).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for grown in (once, later):
+        assert set(grown) == set(expected)
+        for key, tree in expected.items():
+            row, made = grown[key], template_tree.TemplateTree.load(grown[key].state).templates()
+            assert made == tree.templates() and row.template_count == len(made)
+            assert row.line_count == sum(size for _, _, size in made) and row.evicted_count == 0
+    assert later["d", None] == first.filter("task_id is null").first()  # without later lines a tree stays as it is
+
+
 def test_refresh_rebuilds_stale_tasks_alone(spark, tmp_path, table):
     store = stored_baselines.tree_store(spark, str(tmp_path))
     lines = logs.log_entries(table.filter("state = 'success'"))
